@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import components, dedup, pieces, splits
+from claimloom.llm import components, dedup, mixing, overlap, pieces, postings, splits
 from claimloom.registry import Registry
-from claimloom.session import table
+from claimloom.session import scratch, table
 
 LLM = Registry()
 
@@ -122,3 +122,73 @@ def p1_two_batches(spark: SparkSession, d: str) -> DataFrame:
         links, anchors = _capsule_links(spark, d, part)
         state = splits.update_splits(state, links, anchors)
     return _shares(spark, state)
+
+
+# 2 Same or near-same records across splits
+
+
+def _listed_capsules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    records = table(spark, d, "capsules").select(F.col("ids.capsule_id").alias("record_id"), F.col("ids.claim_family_id").alias("family"), F.col("claim.canonical_text").alias("text"))
+    return records, table(spark, d, "split_members").select(F.col("split_name").alias("split"), F.col("capsule_id").alias("record_id"))
+
+
+@LLM.query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of capsules that recur across an evaluation split and train."""
+    return overlap.cross_split_pairs(*_listed_capsules(spark, d)).select(F.col("split").alias("eval_split"), F.col("a").alias("capsule_a"), F.col("b").alias("capsule_b"))
+
+
+@LLM.query("p2_by_source")
+def p2_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs per evaluation split and source of either capsule; a pair counts once for each of its sources, under null if it has none."""
+    records, members = _listed_capsules(spark, d)
+    pairs = scratch(overlap.cross_split_pairs(records, members), "pairs")
+    of = table(spark, d, "capsules").select(F.col("ids.capsule_id").alias("id"), F.explode_outer("provenance_sources.source_id").alias("source_id")).distinct()
+    ends = pairs.select("split", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
+    with_source = ends.join(of, "id", "left").select("split", "a", "b", "source_id").distinct()
+    any_source = with_source.groupBy("split", "a", "b").agg(F.array_compact(F.collect_set("source_id")).alias("s"))
+    return (
+        any_source.select("split", F.explode_outer("s").alias("source_id")).groupBy(F.col("split").alias("eval_split"), "source_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    )
+
+
+@LLM.query("p2_overlap")
+def p2_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The overlap fraction of every capsule listed in an evaluation split."""
+    return overlap.overlap_fractions(*_listed_capsules(spark, d)).withColumnRenamed("record_id", "capsule_id").withColumnRenamed("split", "eval_split")
+
+
+# 7 Evaluation texts leaking into training text
+
+
+@LLM.query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the evaluation items they hold twelve or more words in a row of."""
+    return postings.find_passages(postings.build_index(table(spark, d, "documents")), table(spark, d, "eval_items"))
+
+
+@LLM.query("p7_items")
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """For every evaluation item the documents that leak it, word for word and nearly."""
+    index, items = postings.build_index(table(spark, d, "documents")), table(spark, d, "eval_items")
+    exact = postings.find_passages(index, items).withColumn("exact", F.lit(1))
+    near = postings.find_passages(index, items, slop=postings.SLOP).withColumn("near", F.lit(1))
+    found = exact.join(near, ["doc_id", "item_id"], "full").groupBy("item_id").agg(
+        F.count("exact").alias("n_exact"), F.count(F.when(F.col("exact").isNull(), 1)).alias("n_only_near")
+    )
+    return items.select("item_id", "split_name").distinct().join(found, "item_id", "left").fillna(0, ["n_exact", "n_only_near"])
+
+
+# 8 Mixing sources to target weights
+
+
+@LLM.query("p8_mixture")
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture, one row for each time a document occurs in it."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@LLM.query("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source was to have and has."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
