@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import components, dedup, mixing, overlap, pieces, postings, splits
+from claimloom.llm import components, dedup, mixing, overlap, pieces, pii, postings, splits
 from claimloom.registry import Registry
 from claimloom.session import scratch, table
 
@@ -192,3 +192,19 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share each source was to have and has."""
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+# 9 Personal information inside free text
+
+
+@LLM.query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kind and place of each piece of personal information."""
+    return pii.find_personal(table(spark, d, "documents"), table(spark, d, "known_names"))
+
+
+@LLM.query("p9_redacted")
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with typed placeholders."""
+    docs = table(spark, d, "documents")
+    return pii.redact(docs, scratch(pii.find_personal(docs, table(spark, d, "known_names")), "personal"))
