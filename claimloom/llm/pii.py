@@ -187,13 +187,15 @@ def score_names(found: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Dat
         # a pattern is worth the part of what it extracts that is confident, once that is more than one name
         sides = scored.select(F.explode(F.array("lp", "rp")).alias("p"), "a", "b", "n", "c")
         per_pair = sides.groupBy("p", "a", "b").agg(F.sum("n").alias("n"), F.max("c").alias("c"))
-        patterns = per_pair.groupBy("p").agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("w"), F.count(F.when(F.col("c") >= CONFIDENT, 1)).alias("k"))
-        patterns = scratch(patterns.filter("k >= 2").select("p", "w"), "patterns")
-        both = scored.join(patterns.select(F.col("p").alias("lp"), F.col("w").alias("wl")), "lp", "left").join(patterns.select(F.col("p").alias("rp"), F.col("w").alias("wr")), "rp", "left")
-        both = both.fillna(0.0, ["wl", "wr"]).withColumn("w", F.greatest("wl", "wr") * 0.6)
-        # a part is worth what extracts it: its partner, or failing that the pattern; words also written small are no names
+        patterns = per_pair.groupBy("p").agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("w"), F.count(F.when(F.col("c") >= CONFIDENT, 1)).alias("k"), F.sum("n").alias("seen"))
+        patterns = patterns.filter((F.col("k") >= 2) | ((F.col("k") == 0) & (F.col("seen") >= LEAST_SEEN)))
+        patterns = scratch(patterns.select("p", F.when(F.col("k") >= 2, F.col("w")).otherwise(0.0).alias("w"), (F.col("k") == 0).cast("double").alias("against")), "patterns")
+        side = lambda c, s: patterns.select(F.col("p").alias(c), F.col("w").alias(f"w{s}"), F.col("against").alias(f"x{s}"))
+        both = scored.join(side("lp", "l"), "lp", "left").join(side("rp", "r"), "rp", "left").fillna(0.0, ["wl", "wr", "xl", "xr"])
+        both = both.withColumns({"w": F.greatest("wl", "wr") * 0.6, "against": (F.greatest("xl", "xr") > 0) & (F.greatest("wl", "wr") < 0.3)})
+        # a part is worth what extracts it: its partner, less where a pattern seen often never extracts a name (`The _ index`), or less surely the pattern alone; words also written small are no names
         def parts(word: str, other: str, small: str, role: str) -> DataFrame:
-            ev = F.when(F.col("form") == "if", F.col("w")).otherwise(1 - (1 - F.col(other)) * (1 - F.col("w")))
+            ev = F.when(F.col("against"), F.col(other) * 0.4).otherwise(1 - (1 - F.col(other)) * (1 - F.col("w")))
             return both.filter(F.col(word) != "").select(F.col(word).alias("word"), F.lit(role).alias("role"), "n", (F.col("n") * ev).alias("x"), F.col(small).alias("s"), (F.col("form") == "if").alias("lone"))
 
         worth = parts("a", "f", "na", "given").unionByName(parts("b", "g", "nb", "family").filter("not lone"))

@@ -199,6 +199,8 @@ def _searcher(block: list[tuple[int, list[str]]], n: int, slop: int | None):
         for pdf in it:
             for row in pdf[_COLUMNS].itertuples(index=False):
                 seg = _Opened(*row)
+                if not seg.ids:  # no words at all
+                    continue
                 ids = {t: seg.ids[t] for t in used if t in seg.ids}
                 pairs: set[tuple[int, int]] = set()
                 for item_id, w in queries:
