@@ -9,8 +9,10 @@ For records within a few word edits the join is made lossless. An edit changes
 at most one chunk where every word ends a chunk, and at most window + 1 chunks
 otherwise. Two records within e edits therefore share all but c = e (or e
 (window + 1)) chunks of either, and if chunks are put in one order, rarest
-first, the first c + 1 of each must have one in common (prefix filtering;
-Chaudhuri et al. 2006). How long chunks may be depends on how many a record has.
+first, the first c + 2 of each must have two in common (prefix filtering;
+Chaudhuri et al. 2006). The join is on such pairs of chunks, which stay rare
+where single ones, of a bounded vocabulary, grow with the data. How long
+chunks may be depends on how many a record has.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from claimloom.session import scratch
 
 EDITS = 2
 WINDOW = 2
+#: Chunks that a join key is made of.
+_KEY = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,8 +106,8 @@ def _normalised(texts: DataFrame, edits: int) -> DataFrame:
                 h = word_hashes(w)
                 levels = set(_bits_near(len(w), edits))
                 cuts = {b: [d for d, _ in chunk_digests(h, b)] for b in sorted(levels)}
-                few = [b for b in cuts if b and len(cuts[b]) <= edits * (WINDOW + 1)]
-                if few and 0 not in cuts:  # too few chunks to be sure of a common one
+                few = [b for b in cuts if b and len(cuts[b]) < edits * (WINDOW + 1) + _KEY]
+                if few and 0 not in cuts:  # too few chunks to be sure of two in common
                     cuts[0] = [d for d, _ in chunk_digests(h, 0)]
                 rows.extend((tid, len(w), b, c) for b, c in cuts.items())
             yield pd.DataFrame(rows, columns=["text_id", "n_words", "bits", "digests"]).astype({"n_words": "int32", "bits": "int32"})
@@ -128,13 +132,14 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, edits: int = EDITS) -
     evaluation(text) and training(text) hold normalised texts (words joined by
     blanks), each once a side. Returns eval_text, train_text; no pair is lost.
 
-    Scale: each text takes part with its edits + 1 rarest chunks (edits (window
-    + 1) + 1 where chunks are longer than a word), so the join is on rare
-    digests. Counts of digests are combined before the shuffle; a digest hot in
-    the training side has its count broadcast (a bounded number of them), and a
-    hot join key is split by AQE. Texts of at most `edits` words are within
-    reach of each other without any chunk in common and meet under one key:
-    they are few, as each is there once.
+    Scale: each text takes part with pairs of its edits + 2 rarest chunks
+    (edits (window + 1) + 2 where chunks are longer than a word), so the join
+    is on rare keys. Counts of digests are combined before the shuffle; a
+    digest hot in either side has its count broadcast (a bounded number of
+    them), and a hot join key is split by AQE. Two texts of fewer than edits +
+    2 words need not have two chunks in common and meet under single ones, two
+    of at most `edits` words under one key: there are few, as each text is
+    there once.
     """
     both = scratch(
         evaluation.select("text", F.lit(True).alias("e"), F.lit(False).alias("t")).unionByName(training.select("text", F.lit(False).alias("e"), F.lit(True).alias("t")))
@@ -145,15 +150,15 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, edits: int = EDITS) -
     rows = cuts.select("text_id", "n_words", "bits", F.explode("digests").alias("digest"))
     counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     ranked = lookup_join(rows, counts, "digest", hot_keys(rows, ["digest"]))
-    keep = F.when(F.col("bits") == 0, edits + 1).otherwise(edits * (WINDOW + 1) + 1)
-    prefix = (
-        ranked.groupBy("text_id", "n_words", "bits")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "digest"))).alias("c"))  # the chunks of one text
-        .select("text_id", "n_words", "bits", F.explode(F.slice("c", 1, keep)).alias("c"))
-        .select("text_id", "n_words", "bits", F.col("c.digest").alias("digest"))
-    )
-    short = cuts.filter((F.col("n_words") <= edits) & (F.col("bits") == 0)).select("text_id", "n_words", F.lit(-1).alias("bits"), F.lit(0).cast("long").alias("digest"))
-    keys = scratch(prefix.unionByName(short).join(both.select("text_id", "e", "t"), "text_id"), "prefix")
+    keep = F.when(F.col("bits") == 0, edits + _KEY).otherwise(edits * (WINDOW + 1) + _KEY)
+    firsts = ranked.groupBy("text_id", "n_words", "bits").agg(F.array_sort(F.collect_list(F.struct("n", "digest"))).alias("c"))  # the chunks of one text
+    firsts = scratch(firsts.select("text_id", "n_words", "bits", F.transform(F.slice("c", 1, keep), lambda x: x["digest"]).alias("c")), "prefix")
+    of_two = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.xxhash64(x, y))))
+    row = lambda df, bits, key: df.select("text_id", "n_words", bits.alias("bits"), key.alias("digest"))
+    prefix = row(firsts, F.col("bits"), F.explode(of_two))
+    single = row(firsts.filter((F.col("bits") == 0) & (F.col("n_words") < edits + _KEY)), F.lit(-1), F.explode("c"))
+    short = row(cuts.filter((F.col("bits") == 0) & (F.col("n_words") <= edits)), F.lit(-2), F.lit(0).cast("long"))
+    keys = scratch(prefix.unionByName(single).unionByName(short).join(both.select("text_id", "e", "t"), "text_id"), "keys")
     left = keys.filter("e").select(F.col("text_id").alias("ea"), F.col("n_words").alias("na"), "bits", "digest")
     right = keys.filter("t").select(F.col("text_id").alias("tb"), F.col("n_words").alias("nb"), "bits", "digest")
     candidates = left.join(right, ["bits", "digest"]).filter(F.abs(F.col("na") - F.col("nb")) <= edits).select("ea", "tb").distinct()
