@@ -52,3 +52,27 @@ def warmup_decay(step: Column, warmup: int, total: int) -> Column:
     up = step / max(1, warmup)
     down = F.greatest(F.lit(0.0), (F.lit(total) - step) / max(1, total - warmup))
     return F.when(step < warmup, up).otherwise(down)
+
+
+CURRICULUM = ("text_projection", "structured", "relations", "provenance", "geometry")
+
+
+def curriculum(step: Column, total: int, schedule: str = "none", bounds: tuple[int, ...] = ()) -> dict[str, Column]:
+    """Multipliers of the loss families at a step: all 1, a linear ramp (text always 1, structured ones at least 0.1), or by phases with relations from the second and geometry from the third."""
+    one = F.lit(1.0)
+    if schedule == "none":
+        return dict.fromkeys(CURRICULUM, one)
+    progress = (step + 1) / float(max(total, 1))
+    if schedule == "linear_complexity_ramp":
+        ramp = F.greatest(F.lit(0.1), progress)
+        return dict(zip(CURRICULUM, (one, ramp, ramp, ramp, progress)))
+    phase = F.lit(0)
+    for i, b in enumerate(bounds):
+        phase = F.when(step >= b, i).otherwise(phase)
+    later = lambda n: F.when(phase >= n, 1.0).otherwise(0.0)
+    return dict(zip(CURRICULUM, (one, one, later(1), later(1), later(2))))
+
+
+def availability_masked(loss: Column, available: Column) -> Column:
+    """A record takes part in a loss when both masks say so; a null mask says no."""
+    return F.coalesce(loss, F.lit(0)).cast("boolean") & F.coalesce(available, F.lit(0)).cast("boolean")

@@ -83,3 +83,17 @@ def epistemic_proxies(n_sources: Column, n_relations: Column, n_disagreements: C
 
 def quality_tier(confidence: Column, warnings: Column, disagreements: Column, reviewed: Column, low: float = 0.2, silver: float = 0.72) -> Column:
     return F.when(reviewed, "gold").when((warnings > 1) | (confidence < low), "quarantine").when((confidence >= silver) & (disagreements == 0), "silver").otherwise("bronze")
+
+
+def python_provider(target: str) -> Callable[[pd.Series], pd.Series]:
+    """A provider by `module:function` of a text, for replay_or_run; it is imported where it runs."""
+    module, _, name = target.partition(":")
+    if not module or not name:
+        raise ValueError("a provider is named module:function")
+
+    def run(texts: pd.Series) -> pd.Series:
+        import importlib
+
+        return texts.map(getattr(importlib.import_module(module), name))
+
+    return run

@@ -103,3 +103,17 @@ def compare_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new in place of those with their keys."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+INSPECTION = ("capsule_id", "claim_family_id", "claim_type", "valid_as_of", "canonical_text")
+
+
+def write_record_table(capsules: DataFrame, path: str) -> None:
+    """Capsules as Parquet with a few flat string columns to look at and the whole record as canonical JSON."""
+    flat = {"capsule_id": "ids.capsule_id", "claim_family_id": "ids.claim_family_id", "claim_type": "claim.claim_type", "valid_as_of": "temporal.valid_as_of", "canonical_text": "claim.canonical_text"}
+    capsules.select(*[F.col(p).cast("string").alias(n) for n, p in flat.items()], canonical_json(capsules).alias("record_json")).write.mode("errorifexists").parquet(path)
+
+
+def read_record_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The records of such a table; only record_json is read."""
+    return spark.read.parquet(path).select(F.from_json("record_json", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
