@@ -6,11 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
 _roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -29,6 +31,31 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, driver_memory: st
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once, so that they need no path of their own.
+
+    The archive is made in the session's own file folder on the driver, from
+    which Spark serves it to all executors.
+    """
+    from pyspark import SparkFiles
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = os.path.join(SparkFiles.getRootDirectory(), "build")
+    os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(folder, "claimloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(at, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
