@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -84,6 +85,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_dir is None or not os.path.isdir(_local_dir):
         _local_dir = tempfile.mkdtemp(prefix="claimloom-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(_local_dir)
     return _local_dir
 
