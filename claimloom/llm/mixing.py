@@ -135,7 +135,8 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 11, tokenizer:
     shares are taken of: by default all tokens of documents.text, of sources
     in targets or not. Rows with a null doc_id are passed over; documents
     without a source in targets (null ones too) or without tokens are in no
-    mixture; repeated rows of a doc_id are one document, its smallest text.
+    mixture; repeated rows of a doc_id are one document, the row that is first by
+    source and tokens.
     Empty tables give an empty mixture and shares of 0.
 
     Returns (mixture: doc_id, source, pass_no, n_tokens, one row for each time
@@ -146,9 +147,7 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 11, tokenizer:
     spark = documents.sparkSession
     one = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name("source").alias("source"), "text").filter("doc_id is not null")
     counted = scratch(one.select("doc_id", "source", count_tokens("text", tokenizer).alias("n_tokens")), "tokens")
-    docs = counted.groupBy("doc_id").agg(F.min(F.struct(F.col("source"), F.col("n_tokens"))).alias("x")).select("doc_id", "x.*")
-    # rows with the same source and count are what a repeated row looks like
-    docs = scratch(docs, "docs")
+    docs = scratch(counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("x")).select("doc_id", "x.*"), "docs")
     wanted = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").filter("source is not null")
     wanted = wanted.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("x")).select("source", "x.*")
     goals = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in wanted.limit(MAX_SOURCES + 1).collect()}
