@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.operators import graphs, similarity
 from claimloom.operators.ordering import with_position
 from claimloom.plans import fragments as sql
+from claimloom.plans.substrate import build_substrate
 from claimloom.registry import CORE
 from claimloom.session import table
 
@@ -19,6 +20,12 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select(F.col("item_id").alias("family_id"), F.col("item_text").alias("text"), "released_at", "split_name")
 
 
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    """The claim families of all source documents."""
+    f = build_substrate(table(spark, d, "source_documents"), relate=False).families
+    return f.select("family_id", F.col("canonical_claim_text").alias("text"), "domains", "first_seen")
+
+
 @CORE.query("similar_claims", f"WITH f AS (SELECT DISTINCT {sql.fingerprint('text')} AS id, {sql.fingerprint('text')} AS text FROM extracted_claims), " + _SETS + "SELECT a, b, round(jac, 6) AS jaccard FROM j WHERE a < b AND jac >= 0.8")
 def similar_claims(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different claim fingerprints with a Jaccard of 0.8 or more."""
@@ -53,8 +60,8 @@ def relation_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query("relation_candidates_edit")
 def relation_candidates_edit(spark: SparkSession, d: str) -> DataFrame:
-    """Typed relations with the edit similarity too."""
-    return similarity.relation_candidates(_items(spark, d)).select("source", "target", "relation_type", "confidence")
+    """Typed relations between claim families, with the edit similarity too."""
+    return similarity.relation_candidates(_families(spark, d)).select("source", "target", "relation_type", "confidence")
 
 
 @CORE.query("hard_negatives", _RELATED + "SELECT a AS source, b AS target, round(jac, 6) AS jaccard FROM j WHERE jac BETWEEN 0.18 AND 0.55 AND NOT EXISTS (SELECT 1 FROM r WHERE r.source = a AND r.target = b AND relation_type = 'related') ORDER BY a, b LIMIT 200")
@@ -67,8 +74,23 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query("near_but_distinct")
 def near_but_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """The pool of alike but distinct claims."""
-    return similarity.near_but_distinct(_items(spark, d))
+    """The pool of alike but distinct claim families."""
+    return similarity.near_but_distinct(_families(spark, d))
+
+
+@CORE.query("family_hard_negatives")
+def family_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """The pool of overlapping claim families without a relation of any type."""
+    f = _families(spark, d)
+    return similarity.hard_negatives(f, similarity.relation_candidates(f)).select("source", "target", F.round("jaccard", 6).alias("jaccard"))
+
+
+@CORE.query("family_temporal_distractors")
+def family_temporal_distractors(spark: SparkSession, d: str) -> DataFrame:
+    """The pool of pairs of a claim family and one first seen later."""
+    f = _families(spark, d)
+    l, r = f.select(F.col("family_id").alias("source"), F.col("first_seen").alias("at")), f.select(F.col("family_id").alias("later"), F.col("first_seen").alias("later_at"))
+    return similarity.first_pairs(l, r, F.col("later_at") > F.col("at"), "source", "later").select("source", "later")
 
 
 @CORE.query("temporal_distractors", "SELECT l.item_id AS source, r.item_id AS later FROM eval_items l JOIN eval_items r ON r.released_at > l.released_at ORDER BY 1, 2 LIMIT 200")

@@ -4,7 +4,7 @@ import difflib
 import itertools
 
 from claimloom.operators.similarity import RELATION_RULES
-from claimloom.plans import substrate_queries
+from claimloom.plans import graph_queries, substrate_queries
 
 from .conftest import DATA
 from .test_operators import _print
@@ -31,3 +31,18 @@ def test_built_capsules_keep_relations(spark):
     text = {t: f for f, t in families.items()}
     got = [(text[c["canonical_text"]], r["target_family_id"], r["relation_type"], round(r["confidence"], 3)) for c in substrate_queries.built_capsules(spark, DATA).collect() for r in c["relations"]]
     assert len(got) == len(set(got)) and want == set(got) and want
+
+
+def test_pools_of_all_families(spark, rows):
+    families = {r["family_id"]: (r["canonical_claim_text"], r["first_seen"]) for r in substrate_queries.built_families(spark, DATA).collect()}
+    pairs = list(itertools.permutations(sorted(families), 2))
+    related = {(a, b): r for a, b in pairs if (r := _relation(families[a][0], families[b][0]))}
+    got = rows(graph_queries.relation_candidates_edit(spark, DATA))
+    assert {(a, b, k, round(c, 3)) for a, b, k, c in got} == {(*p, *r) for p, r in related.items()} and len(got) == len(related)
+    prints = {f: _print(x) for f, (x, _) in families.items()}
+    jac = {(a, b): len(x & y) / len(x | y) for a, b in pairs for x, y in [(set(prints[a].split()), set(prints[b].split()))]}
+    assert rows(graph_queries.family_hard_negatives(spark, DATA), "source", "target") == [p for p in pairs if 0.18 <= jac[p] <= 0.55 and p not in related][:200]
+    alike = [(a, b) for a, b in pairs if a < b and 0.42 <= 0.7 * jac[a, b] + 0.3 * difflib.SequenceMatcher(None, prints[a], prints[b]).ratio() < 0.72]
+    assert rows(graph_queries.near_but_distinct(spark, DATA), "a", "b") == alike[:200]
+    seen = {f: at for f, (_, at) in families.items()}
+    assert rows(graph_queries.family_temporal_distractors(spark, DATA)) == [(a, b) for a, b in pairs if seen[a] and seen[b] and seen[b] > seen[a]][:200]
