@@ -66,10 +66,9 @@ def relation_candidates_edit(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query("hard_negatives", _RELATED + "SELECT a AS source, b AS target, round(jac, 6) AS jaccard FROM j WHERE jac BETWEEN 0.18 AND 0.55 AND NOT EXISTS (SELECT 1 FROM r WHERE r.source = a AND r.target = b AND relation_type = 'related') ORDER BY a, b LIMIT 200")
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    """The pool of overlapping pairs that aren't `related`."""
+    """The pool of overlapping pairs without a relation of any type. The SQL leaves out `related` pairs by overlap alone, so it can give more."""
     items = _items(spark, d)
-    related = similarity.relation_candidates(items, edit=False).filter("relation_type = 'related'")
-    return similarity.hard_negatives(items, related).select("source", "target", F.round("jaccard", 6).alias("jaccard"))
+    return similarity.hard_negatives(items, similarity.relation_candidates(items)).select("source", "target", F.round("jaccard", 6).alias("jaccard"))
 
 
 @CORE.query("near_but_distinct")

@@ -46,3 +46,19 @@ def test_pools_of_all_families(spark, rows):
     assert rows(graph_queries.near_but_distinct(spark, DATA), "a", "b") == alike[:200]
     seen = {f: at for f, (_, at) in families.items()}
     assert rows(graph_queries.family_temporal_distractors(spark, DATA)) == [(a, b) for a, b in pairs if seen[a] and seen[b] and seen[b] > seen[a]][:200]
+
+
+def test_hard_negatives_have_no_relation(spark, rows, tmp_path):
+    base = "alpha beta gamma delta epsilon zeta eta theta".split()
+    texts = {"a": " ".join(base), "b": " ".join(base[:3] + ["one", "two", "three", "four", "five"]), "c": "supports " + " ".join(base[:3] + ["six", "seven", "eight", "nine"]), "d": " ".join(base[:3] + ["ten", "x1", "x2", "x3", "x4"])}
+    texts["e"] = " ".join(base[:3] + base[4:5] + ["eleven", "twelve", "epsilom", "zeto", "etaa", "thetb"])  # alike by edit
+    spark.createDataFrame([(k, x, None, "s") for k, x in texts.items()], "item_id string, item_text string, released_at timestamp, split_name string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    want = []
+    for a, b in itertools.permutations(sorted(texts), 2):
+        x, y = (set(_print(texts[k]).split()) for k in (a, b))
+        if 0.18 <= len(x & y) / len(x | y) <= 0.55 and not _relation(texts[a], texts[b]):
+            want.append((a, b))
+    kinds = {r[0] for a, b in itertools.permutations(texts, 2) if (r := _relation(texts[a], texts[b]))}
+    assert "supports" in kinds and "related" in kinds
+    got = rows(graph_queries.hard_negatives(spark, str(tmp_path)), "source", "target")
+    assert got == want and want
