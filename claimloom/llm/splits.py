@@ -7,7 +7,8 @@ jumping, and written back as the next state. An existing component keeps its
 split; components that merge with one split between them keep that split; a
 merge of components with different splits is quarantined as a whole, since no
 split can hold it without moving records that were given out. New components
-fill the splits that are furthest below their share.
+fill the splits that are furthest below their share. A component without any
+record has no split (null) and binds nothing: it is placed with its first record.
 
 Scale: keys, links and components are shuffled tables throughout. Only the
 largest new components, at most 1 / LARGE_SHARE of them, are placed on the
@@ -112,7 +113,8 @@ def update_splits(state: SplitState, links: DataFrame, anchors: DataFrame, share
         "members",
     )
     olds = members.filter("old is not null").select("root", "old").distinct().join(state.components.withColumnRenamed("component_id", "old"), "old")
-    of_old = olds.groupBy("root").agg(F.min("old").alias("old_id"), F.min("split").alias("lo"), F.max("split").alias("hi"), F.sum("n_records").alias("n_old"))
+    given_out = F.when(F.col("n_records") > 0, F.col("split"))
+    of_old = olds.groupBy("root").agg(F.min("old").alias("old_id"), F.min(given_out).alias("lo"), F.max(given_out).alias("hi"), F.sum("n_records").alias("n_old"))
     of_key = members.groupBy("root").agg(F.min("key").alias("first_key"))
     counted = anchors.join(members.select("key", "root"), "key").groupBy("root").agg(F.count(F.lit(1)).alias("n_new"))
     merged = scratch(
@@ -125,13 +127,14 @@ def update_splits(state: SplitState, links: DataFrame, anchors: DataFrame, share
     )
     # what is given out so far, after this batch's growth of existing components
     untouched = state.components.join(olds.select(F.col("old").alias("component_id")).distinct(), "component_id", "left_anti")
-    standing = untouched.select("component_id", "split", "n_records").unionByName(merged.filter("kept is not null").select("component_id", F.col("kept").alias("split"), "n_records"))
+    standing = untouched.select("component_id", given_out.alias("split"), "n_records").unionByName(merged.filter("kept is not null").select("component_id", F.col("kept").alias("split"), "n_records"))
     given = {r[0]: r[1] for r in standing.groupBy("split").agg(F.sum("n_records")).collect()}  # one row a split
-    fresh = merged.filter("kept is null").select("component_id", "n_records")
+    fresh = merged.filter("kept is null and n_records > 0").select("component_id", "n_records")
+    empty = merged.filter("n_records = 0").select("component_id", F.lit(None).cast("string").alias("split"), "n_records")
     in_all = sum(n for s, n in given.items() if s != QUARANTINE) + (fresh.agg(F.sum("n_records")).first()[0] or 0)
     deficits = {s: share * in_all - given.get(s, 0) for s, share in shares}
     placed = _place(fresh, deficits, seed)
-    components = scratch(standing.unionByName(fresh.join(placed, "component_id").select("component_id", "split", "n_records")), "components")
+    components = scratch(standing.unionByName(fresh.join(placed, "component_id").select("component_id", "split", "n_records")).unionByName(empty), "components")
     ids = merged.select("root", "component_id")
     moved = olds.select("old", "root").join(ids, "root").select(F.col("old").alias("component_id"), F.col("component_id").alias("now"))
     old_keys = state.keys.join(moved, "component_id", "left").select("key", F.coalesce("now", "component_id").alias("component_id"))

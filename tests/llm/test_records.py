@@ -151,6 +151,26 @@ def test_later_batches(spark, rows, tmp_path):
     assert state2.components.agg(F.sum("n_records")).first()[0] == 205
 
 
+def test_empty_components_bind_nothing(spark):
+    authors = [(f"s{i}", f"author {i}") for i in range(200)]
+    links, anchors = batch(spark, [(f"r{i}", f"f{i}", None) for i in range(200)], authors)
+    state = splits.update_splits(splits.SplitState.empty(spark), links, anchors)
+    assert state.components.filter("n_records = 0").count() == 200 == state.components.filter("split is null").count()
+    before = {r["record_id"]: r["split"] for r in splits.record_splits(state, anchors).collect()}
+    # each record's family is tied to a source that had no record; s100 and s101 to each other; two more stay empty
+    second = [(f"n{i}", f"f{i}", [f"s{i}"]) for i in range(100)] + [("fresh", "g", ["s100", "s101"])]
+    links2, anchors2 = batch(spark, second, [("s102", "Author 103")])
+    state2 = splits.update_splits(state, links2, anchors2)
+    after = {r["record_id"]: r["split"] for r in splits.record_splits(state2, anchors.union(anchors2)).collect()}
+    assert all(after[r] == s for r, s in before.items()) and all(after[f"n{i}"] == before[f"r{i}"] for i in range(100))
+    assert after["fresh"] in dict(splits.SHARES)
+    assert {r["split"] for r in state2.components.filter("n_records = 0").select("split").distinct().collect()} == {None}
+    # a state saved when empty components still had splits
+    old = splits.SplitState(state.keys, state.components.withColumn("split", F.coalesce("split", F.lit("test"))))
+    again = {r["record_id"]: r["split"] for r in splits.record_splits(splits.update_splits(old, links2, anchors2), anchors).collect()}
+    assert again == before
+
+
 # overlap
 
 
