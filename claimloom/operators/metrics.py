@@ -76,3 +76,23 @@ def curriculum(step: Column, total: int, schedule: str = "none", bounds: tuple[i
 def availability_masked(loss: Column, available: Column) -> Column:
     """A record takes part in a loss when both masks say so; a null mask says no."""
     return F.coalesce(loss, F.lit(0)).cast("boolean") & F.coalesce(available, F.lit(0)).cast("boolean")
+
+
+def budgets(metrics: DataFrame) -> DataFrame:
+    """Budget rows of metrics(arm_id, total, trainable, final_step, records_seen, tokens_seen); what is missing counts as 0, and wall-clock is 0 as in the original."""
+    n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    return metrics.select(
+        "arm_id", n("total").alias("parameters"), n("trainable").alias("trainable_parameters"), n("final_step").alias("step_count"), n("records_seen").alias("records_seen"), n("tokens_seen").alias("tokens_seen"), n("records_seen").alias("structured_records_seen"),
+        F.lit(0.0).alias("wall_clock_seconds"), (F.lit(2.0) * n("total") * F.greatest(n("final_step"), F.lit(1))).alias("estimated_flops"), F.lit("local_runtime").alias("hardware"),
+    )
+
+
+# The arms whose difference from the geometry arm is a control effect.
+GEOMETRY_ARM = "E_structured_native_geometry"
+CONTROL_EFFECTS = {"geometry_on_minus_off_delta": "D_structured_native_no_geometry", "context_shuffle_degradation": "H_structured_native_context_shuffle", "geometry_signal_vs_popularity_control": "J_popularity_frequency_control"}
+
+
+def control_effects(scores: DataFrame) -> DataFrame:
+    """One row of the effects from scores(arm_id, structured_epistemic_score), one row an arm; a missing arm or score counts as 0."""
+    of = lambda arm: F.coalesce(F.max(F.when(F.col("arm_id") == arm, F.col("structured_epistemic_score"))), F.lit(0.0))
+    return scores.agg(*[(of(GEOMETRY_ARM) - of(arm)).alias(name) for name, arm in CONTROL_EFFECTS.items()])

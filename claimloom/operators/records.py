@@ -65,3 +65,15 @@ TASKS = ("claim_extraction", "epistemic_proxy", "structured_views")
 def provider_tasks(families: DataFrame, key: str) -> DataFrame:
     """key, task: every family with each of the tasks."""
     return families.select(key, F.explode(F.array(*[F.lit(x) for x in TASKS])).alias("task"))
+
+
+def with_negatives(capsules: DataFrame, negatives: DataFrame) -> DataFrame:
+    """capsules with negatives, the rows of negatives(source_family_id, pool_id, ...) of their family by pool_id; an empty array where there are none."""
+    rest = [c for c in negatives.columns if c not in ("source_family_id", "pool_id")]
+    own = negatives.filter("source_family_id is not null").groupBy(F.col("source_family_id").alias("_f")).agg(F.array_sort(F.collect_list(F.struct("pool_id", *rest))).alias("negatives"))
+    return capsules.join(own, F.col("ids.claim_family_id") == F.col("_f"), "left").drop("_f").withColumn("negatives", F.coalesce("negatives", F.array()))
+
+
+def disagreements(records: DataFrame, family: str, decision: str) -> DataFrame:
+    """family, disagreement_count: how many of a family's task records took one provider's output over another's."""
+    return records.groupBy(family).agg(F.count_if(F.coalesce(F.startswith(F.col(decision), F.lit("selected_")), F.lit(False))).alias("disagreement_count"))

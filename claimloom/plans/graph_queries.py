@@ -84,6 +84,12 @@ def family_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return similarity.hard_negatives(f, similarity.relation_candidates(f)).select("source", "target", F.round("jaccard", 6).alias("jaccard"))
 
 
+@CORE.query("family_same_topic_unrelated")
+def family_same_topic_unrelated(spark: SparkSession, d: str) -> DataFrame:
+    """The pool of claim families of one domain that hardly overlap and have no relation."""
+    return similarity.same_topic_unrelated(_families(spark, d)).select("source", "target", F.round("jaccard", 6).alias("jaccard"))
+
+
 @CORE.query("family_temporal_distractors")
 def family_temporal_distractors(spark: SparkSession, d: str) -> DataFrame:
     """The pool of pairs of a claim family and one first seen later."""
