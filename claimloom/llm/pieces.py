@@ -68,11 +68,14 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
         raise ValueError("overlap must be less than limit")
     if len(text) <= limit:
         return [(0, len(text))]
-    least = max(overlap + 1, limit // 2)  # so that every piece goes on, and none is a scrap
-    table = RangeMaximum(strengths(text), limit - least + 1)
+    least = max(overlap + 1, limit // 2)  # so that every piece goes on, and none is a scrap where a later boundary will do
+    table = RangeMaximum(strengths(text), limit - overlap)
     out, start = [], 0
     while len(text) - start > limit:
         at = table.query(start + least, start + limit)
+        if table.values[at] <= 0:  # no boundary: an earlier one keeps what is unbroken whole
+            early = table.query(start + overlap + 1, start + limit)
+            at = early if table.values[early] > 0 else at
         out.append((start, at))
         start = at - overlap
     out.append((start, len(text)))

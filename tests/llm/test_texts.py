@@ -48,6 +48,14 @@ def test_cuts_are_the_strongest():
         pieces.cut("x", 5, 5)
 
 
+def test_an_unbroken_string_stays_whole():
+    text = "Some words here. " * 29 + "x" * 1000 + " And the end. " * 20
+    got = pieces.cut(text)
+    at = 17 * 29
+    assert got[0] == (0, at) and got[1][0] == at - 120 and got[1][1] >= at + 1000
+    assert pieces.cut("y" * 3000)[0] == (0, 1200)  # no boundary anywhere
+
+
 def test_split_oversized(spark):
     long = "# One\n" + "Some words here. " * 60 + "\n## Two\n" + "Other words there. " * 60
     data = [("a", long, 10, ["Doc"], 1), ("a", long, 10, ["Doc"], 2), ("b", "short", 0, None, 1), ("c", None, 0, None, 1), (None, long, 0, None, 1), ("d", long, None, None, 1)]
