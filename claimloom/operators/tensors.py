@@ -103,3 +103,9 @@ def encoded_texts(texts: DataFrame, key: str, text: str, vocab: DataFrame, lengt
     coded = words.join(vocab, "token", "left").withColumn("idx", F.coalesce("idx", F.lit(UNKNOWN)))
     ids = coded.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "idx")))).alias("a")).select(key, F.transform("a", lambda x: x["idx"]).alias("a"))
     return ids.select(key, F.concat("a", F.array_repeat(F.lit(0).cast("bigint"), F.lit(length) - F.size("a"))).alias("ids"), F.concat(F.array_repeat(F.lit(1), F.size("a")), F.array_repeat(F.lit(0), F.lit(length) - F.size("a"))).alias("attention"))
+
+
+def longest(texts: DataFrame, text: str, least: int) -> int:
+    """The number of tokens of the longest text, or least where that is more."""
+    n = F.size(F.filter(F.split(t.squeeze(F.lower(text)), " "), lambda w: w != ""))
+    return max(least, texts.agg(F.max(n)).first()[0] or 0)

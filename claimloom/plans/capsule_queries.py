@@ -219,6 +219,15 @@ def encoded_items(spark: SparkSession, d: str) -> DataFrame:
     return e.select("item_id", F.array_join("ids", " ").alias("ids"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("n"))
 
 
+@CORE.query("encoded_items_whole")
+def encoded_items_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Items as token ids without loss: 128 of them, the compile default, or as many as the longest item has."""
+    items = table(spark, d, "eval_items")
+    vocab = tensors.fitted_tokens(items, "item_id", "item_text")
+    e = tensors.encoded_texts(items, "item_id", "item_text", vocab, tensors.longest(items, "item_text", 128))
+    return e.select("item_id", F.array_join("ids", " ").alias("ids"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("n"))
+
+
 @CORE.query("distinct_sources", "SELECT s.source_id AS source_id, max((coalesce(s.title, ''), coalesce(s.license, ''))) AS last FROM (SELECT unnest(provenance_sources) AS s FROM capsules) WHERE s.source_id IS NOT NULL GROUP BY 1".replace("max((coalesce(s.title, ''), coalesce(s.license, ''))) AS last", "max(coalesce(s.title, '') || '|' || coalesce(s.license, '')) AS metadata"))
 def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
     """One metadata row for each source of the capsules, the last in order."""

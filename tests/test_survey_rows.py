@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 
 from claimloom.operators import metrics, records, similarity
+from claimloom.plans import capsule_queries
 
 from .test_operators import _print
 from .test_substrate_queries import _relation
@@ -34,3 +35,10 @@ def test_rows_of_the_survey(spark, rows):
     s = spark.createDataFrame([(metrics.GEOMETRY_ARM, 0.75), ("D_structured_native_no_geometry", 0.5), ("H_structured_native_context_shuffle", None)], "arm_id string, structured_epistemic_score double")
     assert rows(metrics.control_effects(s)) == [(0.25, 0.75, 0.75)]
     assert rows(metrics.control_effects(s.filter("false"))) == [(0.0, 0.0, 0.0)]
+
+
+def test_whole_items_are_encoded(spark, tmp_path):
+    sizes = {"a": 1, "b": 65, "c": 98, "d": 130}
+    spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(n))) for k, n in sizes.items()], "item_id string, item_text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    got = {r["item_id"]: (r["n"], len(r["ids"].split())) for r in capsule_queries.encoded_items_whole(spark, str(tmp_path)).collect()}
+    assert got == {k: (n, 130) for k, n in sizes.items()}
