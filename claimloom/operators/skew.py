@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot when it has more than this part of all rows, so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 512
 #: ... and more than so many rows; smaller groups fit in any task.
-HOT_ROWS = 50_000
+HOT_ROWS = 64
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame:
@@ -27,20 +29,50 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: in
     )
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "left") -> DataFrame:
+def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
+    """The hot keys of one column, nulls left out, on the driver: at most 1 / share of them. df should be a written table."""
+    total = df.count()
+    if total <= least:
+        return []
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return sorted(r[0] for r in counts.filter(F.col("_n") > max(least, total * share)).select(key).collect())
+
+
+def hot_of_counts(counts: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
+    """The hot keys of a written table of counts (key, n), on the driver: at most 1 / share of them."""
+    total = counts.agg(F.sum(n).alias("_total"))
+    hot = counts.filter((F.col(n) > least) & F.col(key).isNotNull()).join(F.broadcast(total), F.col(n) > F.col("_total") * F.lit(share))  # one row
+    return sorted(r[0] for r in hot.select(key).collect())
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:
     """left joined to right, whose key is unique, with hot keys of left kept out of the shuffle.
 
-    hot comes from hot_keys(left, [key]) and so has a bounded number of rows;
-    its part of right is broadcast. Other keys take a shuffled join. how is
-    left, inner, left_semi or left_anti. A null key matches nothing.
+    hot comes from hot_values(left, key) and so is of a bounded length; its part
+    of right, one row each, is broadcast. Other keys take a shuffled merge join,
+    whatever the sizes. how is left, inner, left_semi or left_anti. A null key
+    matches nothing.
+    """
+    if not hot:
+        return left.join(right.hint("merge"), key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = left.filter(is_hot).join(F.broadcast(right.filter(F.col(key).isin(hot))), key, how)  # at most len(hot) rows
+    return few.unionByName(left.filter(~is_hot).join(right.hint("merge"), key, how))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, salts: int = 16) -> DataFrame:
+    """Inner join of two sides that may both repeat a key, with hot keys split over several tasks.
+
+    hot comes from hot_keys of the larger side, so it is of a bounded size and
+    broadcast. Rows of a hot key on the left are dealt to `salts` parts, those
+    on the right are copied to each; others stay in one part.
     """
-    flags = hot.select(F.col(key).alias("_hk"), F.lit(True).alias("_hot"))
-    marked = left.join(F.broadcast(flags), left[key].eqNullSafe(F.col("_hk")), "left").drop("_hk")
-    hot_right = right.join(F.broadcast(hot.select(key)), key, "left_semi")
-    is_hot = F.col("_hot").isNotNull()
-    a = marked.filter(is_hot).drop("_hot").join(F.broadcast(hot_right), key, how)
-    b = marked.filter(~is_hot).drop("_hot").join(right, key, how)
-    return a.unionByName(b)
+    flags = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))  # at most 1 / share rows
+    row = reduce(lambda a, b: F.concat(a, b), [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in left.columns if c not in keys], F.lit(""))
+    a = left.join(flags, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt(salts, row)).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    b = right.join(flags, keys, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return a.join(b.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def salt(n: int, *spread: Column | str) -> Column:

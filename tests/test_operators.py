@@ -14,7 +14,7 @@ from claimloom.operators import graphs, ordering, similarity, vectors
 from claimloom.operators.chunking import chunk_documents, chunks_of
 from claimloom.operators.providers import merge_outputs, replay_or_run
 from claimloom.operators.references import orphan_references, pack_bits, unpack_bits
-from claimloom.operators.skew import hot_keys, lookup_join
+from claimloom.operators.skew import hot_keys, hot_of_counts, hot_values, lookup_join, spread_join
 from claimloom.operators.tensors import encoded_texts, fitted_tokens
 
 
@@ -49,12 +49,21 @@ def test_bitmaps():
 def test_lookup_join_with_hot_keys(spark, rows):
     left = spark.createDataFrame([("h", i) for i in range(300)] + [(k, 1) for k in "abc"] + [(None, 2)], "k string, v int")
     right = spark.createDataFrame([("h", 1), ("a", 2), ("z", 3)], "k string, w int")
-    hot = hot_keys(left, ["k"], share=0.1, least=10)
-    assert rows(hot, "k") == [("h",)]
+    assert rows(hot_keys(left, ["k"], share=0.1, least=10), "k") == [("h",)]
+    hot = hot_values(left, "k", share=0.1, least=10)
+    assert hot == ["h"] == hot_of_counts(left.groupBy("k").count(), "k", "count", 0.1, 10) and hot_values(left, "k", least=1000) == []
     for how in ("left", "inner", "left_semi", "left_anti"):
         assert rows(lookup_join(left, right, "k", hot, how)) == rows(left.join(right, "k", how))
 
 
+def test_spread_join(spark, rows):
+    left = spark.createDataFrame([("h", i, None) for i in range(300)] + [(k, 1, "z") for k in "abc"] + [(None, 2, "")], "k string, v int, x string")
+    right = spark.createDataFrame([("h", i) for i in range(7)] + [("a", 2), ("a", 3), (None, 3)], "k string, w int")
+    hot = hot_keys(left, ["k"], share=0.1, least=10)
+    assert rows(spread_join(left, right, ["k"], hot)) == rows(left.join(right, "k"))
+    assert rows(spread_join(left, right, ["k"], hot.filter("false"))) == rows(left.join(right, "k"))
+
+
 def test_positions(spark, rows):
     data = [(i * 7 % 101, i) for i in range(101)]
     df = spark.createDataFrame(data, "k int, v int").repartition(5)
