@@ -5,8 +5,9 @@ randomly contracted graphs, where each vertex hooks to the neighbour that comes
 first in a fresh hash order, and least-label hooking with pointer jumping.
 Each round writes the contraction's mapping and the edges that remain, and the
 mappings are composed from the last to the first, so that the work shrinks
-with the graph. Nothing is collected; hubs are combined before the shuffle in
-the hooking step and split by AQE in the relabelling joins.
+with the graph. Links, vertices and groups stay in tables; all that comes to
+the driver is counts and the few hot vertices (operators/skew.py), whose rows
+are relabelled without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,65 +17,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators.skew import hot_of_counts, hot_values, lookup_join
 from claimloom.session import release, scratch
 
-MAX_ROUNDS = 200
-
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
 def _hash_hook(edges: DataFrame, round_no: int) -> DataFrame:
-    """v, r: of each vertex and its neighbours the one that is first in this round's hash order."""
+    """v, r, n: of each vertex and its neighbours the one that is first in this round's hash order, and the vertex's degree; written."""
     seen = F.min(F.struct(F.xxhash64(F.lit(round_no), "b").alias("h"), F.col("b").alias("v"))).alias("m")
     own = F.struct(F.xxhash64(F.lit(round_no), "a").alias("h"), F.col("a").alias("v"))
-    return _both_ways(edges).groupBy("a").agg(seen).select(F.col("a").alias("v"), F.least("m", own)["v"].alias("r"))
+    return scratch(_both_ways(edges).groupBy("a").agg(seen, F.count(F.lit(1)).alias("n")).select(F.col("a").alias("v"), F.least("m", own)["v"].alias("r"), "n"), "map")
 
 
 def _least_hook(edges: DataFrame, round_no: int) -> DataFrame:
-    """v, r: of each vertex and its neighbours the least, followed further by two pointer jumps.
+    """v, r, n: of each vertex and its neighbours the least, followed further by two pointer jumps, and the vertex's degree; written.
 
     A jump replaces the pointer by the pointer's own: p(v) = p(p(v)). Pointers
     only go down, so each round's mapping is a forest, and wherever a jump stops
     short the edges still hold the pieces together for the next round.
     """
-    p = scratch(_both_ways(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("r")), "pointers")
+    p = scratch(_both_ways(edges).groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("v"), F.least("a", "m").alias("r"), "n"), "pointers")
     for _ in range(2):
-        nxt = p.select(F.col("v").alias("r"), F.col("r").alias("rr"))
-        jumped = scratch(p.join(nxt, "r").select("v", F.col("rr").alias("r")), "pointers")
+        jumped = scratch(relabelled(p, "r", p, hot_values(p, "r")), "pointers")
         release(p)
         p = jumped
     return p
 
 
-def _contract(edges: DataFrame, hook: Callable[[DataFrame, int], DataFrame]) -> DataFrame | None:
-    """v, r for every vertex of edges; None without edges."""
-    current = scratch(
-        edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
+def relabelled(rows: DataFrame, column: str, labels: DataFrame, hot: list, keep: bool = False) -> DataFrame:
+    """rows with each value of a column replaced by its label of labels(v, r); with keep, values without one stay. hot are the hot values of the column."""
+    order = rows.columns
+    named = labels.select(F.col("v").alias(column), F.col("r").alias("_label"))
+    joined = lookup_join(rows, named, column, hot, "left" if keep else "inner")
+    label = F.coalesce("_label", column) if keep else F.col("_label")
+    return joined.withColumn(column, label).select(*order)
+
+
+def contract(edges: DataFrame, hook: Callable[[DataFrame, int], DataFrame]) -> DataFrame | None:
+    """v, r for every vertex of edges(a, b), r one vertex of its component; None without edges.
+
+    In every round the vertex that is last in the round's order is no
+    neighbour's choice, so the graph shrinks and the rounds end by themselves.
+    """
+    current = scratch(edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
-    for round_no in range(MAX_ROUNDS):
-        if current.isEmpty():
-            break
-        m = hook(current, round_no)
-        m = m if hasattr(m, "_claimloom_path") else scratch(m, "map")
+    while not current.isEmpty():
+        m = hook(current, len(maps))
         maps.append(m)
-        ma, mb = m.select(F.col("v").alias("a"), F.col("r").alias("ra")), m.select(F.col("v").alias("b"), F.col("r").alias("rb"))
-        nxt = scratch(
-            current.join(ma, "a").join(mb, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges"
-        )
+        hot = hot_of_counts(m, "v")
+        relinked = relabelled(relabelled(current, "a", m, hot), "b", m, hot).filter("a <> b")
+        nxt = scratch(relinked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         release(current)
         current = nxt
-    else:
-        raise RuntimeError("the contraction did not end")
+    release(current)
     if not maps:
         return None
     # the last mapping holds the final roots; earlier ones are followed into it
     whole = maps[-1]
     for m in reversed(maps[:-1]):
-        up = whole.select(F.col("v").alias("r"), F.col("r").alias("rr"))
-        whole = scratch(m.join(up, "r", "left").select("v", F.coalesce("rr", "r").alias("r")), "map")
+        further = scratch(relabelled(m.select("v", "r"), "r", whole, hot_values(m, "r"), keep=True), "map")
+        release(whole, m)
+        whole = further
     return whole
 
 
@@ -83,6 +89,12 @@ def numbered(names: DataFrame, column: str) -> DataFrame:
     return scratch(names.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("v", F.monotonically_increasing_id()), "names")
 
 
+def edges_of(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Links (a, b) of names (a written table) as edges of their numbers names(name, v); a name without a number takes its link with it."""
+    on = lambda rows, c: lookup_join(rows, names.select(F.col("name").alias(c), F.col("v").alias(f"v{c}")), c, hot_values(links, c), "inner").drop(c)
+    return on(on(links.select("a", "b"), "a"), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+
+
 def linked_groups(pairs: DataFrame, method: str = "random") -> DataFrame:
     """A root for every name that pairs link to another.
 
@@ -92,19 +104,20 @@ def linked_groups(pairs: DataFrame, method: str = "random") -> DataFrame:
     through others); an empty table gives no rows. method is `random` for
     random contraction or `jump` for pointer jumping.
     """
-    spark = pairs.sparkSession
     links = scratch(pairs.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    names = numbered(links.select(F.col("a").alias("name")).union(links.select(F.col("b").alias("name"))), "name")
-    na, nb = names.select(F.col("name").alias("a"), F.col("v").alias("va")), names.select(F.col("name").alias("b"), F.col("v").alias("vb"))
-    edges = links.join(na, "a").join(nb, "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
-    roots = _contract(edges, {"random": _hash_hook, "jump": _least_hook}[method])
+    names = numbered(links.select(F.explode(F.array("a", "b")).alias("name")), "name")
+    roots = contract(edges_of(links, names), HOOKS[method])
+    release(links)
     if roots is None:
-        return spark.createDataFrame([], "name string, root long")
-    return names.join(roots, "v").select("name", F.col("r").alias("root"))
+        return pairs.sparkSession.createDataFrame([], "name string, root long")
+    return names.join(roots.select("v", "r").hint("merge"), "v").select("name", F.col("r").alias("root"))
+
+
+HOOKS = {"random": _hash_hook, "jump": _least_hook}
 
 
 def group_ids(pairs: DataFrame) -> DataFrame:
     """name and group_id, the smallest name of its group, by random contraction of the pairs' graph."""
     groups = scratch(linked_groups(pairs, "random"), "groups")
-    least = groups.groupBy("root").agg(F.min("name").alias("group_id"))
-    return groups.join(least, "root").select("group_id", "name")
+    least = scratch(groups.groupBy("root").agg(F.min("name").alias("group_id"), F.count(F.lit(1)).alias("n")), "least")
+    return lookup_join(groups, least.drop("n"), "root", hot_of_counts(least, "root"), "inner").select("group_id", "name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import components, dedup, mixing, overlap, pieces, pii, postings, splits
+from claimloom.llm import components, dedup, mixing, oracles, overlap, pieces, pii, postings, splits
 from claimloom.registry import Registry
 from claimloom.session import scratch, table
 
@@ -22,13 +22,13 @@ def _record_keys(spark: SparkSession, d: str) -> DataFrame:
     return claims.unionByName(capsules).unionByName(raw)
 
 
-@LLM.query("p3_found")
+@LLM.query("p3_found", oracles.P3_FOUND)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Each id but the smallest of its record."""
     return dedup.collapse_copies(_record_keys(spark, d)).filter("id <> first_id").select("record_set", "first_id", F.col("id").alias("copy_id"))
 
 
-@LLM.query("p3_records")
+@LLM.query("p3_records", oracles.P3_RECORDS)
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
     """One row for each record with its number of copies."""
     return dedup.copy_counts(dedup.collapse_copies(_record_keys(spark, d)))
@@ -61,7 +61,7 @@ def _family_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(known.withColumnRenamed("claim_id", "a"), "a", "left_semi").join(known.withColumnRenamed("claim_id", "b"), "b", "left_semi")
 
 
-@LLM.query("p5_found")
+@LLM.query("p5_found", oracles.P5_FOUND)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The group of every claim linked to another."""
     return components.group_ids(_family_pairs(spark, d)).select("group_id", F.col("name").alias("claim_id"))
@@ -70,58 +70,71 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 # 1 Splits that keep related records together
 
 
-def _capsule_links(spark: SparkSession, d: str, capsules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _capsule_links(spark: SparkSession, d: str, capsules: DataFrame | None = None) -> DataFrame:
     caps = table(spark, d, "capsules") if capsules is None else capsules
     records = caps.select(F.col("ids.capsule_id").alias("record_id"), F.col("ids.claim_family_id").alias("family"), F.col("provenance_sources.source_id").alias("sources"))
     authors = table(spark, d, "source_documents").select("source_id", F.explode("authors").alias("author"))
     return splits.record_links(records, authors)
 
 
-def _split_all(spark: SparkSession, d: str) -> tuple[splits.SplitState, DataFrame]:
-    links, anchors = _capsule_links(spark, d)
-    return splits.update_splits(splits.SplitState.empty(spark), links, anchors), anchors
+def _split_all(spark: SparkSession, d: str) -> splits.SplitState:
+    return splits.update_splits(splits.SplitState.empty(spark), _capsule_links(spark, d))
 
 
-@LLM.query("p1_found")
+def _two_batches(spark: SparkSession, d: str) -> splits.SplitState:
+    """The state after the capsules came in two batches, those without a time or before 2024 first."""
+    caps = table(spark, d, "capsules")
+    early = F.coalesce(F.col("temporal.constructed_at") < F.lit("2024-01-01").cast("timestamp"), F.lit(True))
+    state = splits.SplitState.empty(spark)
+    for part in (caps.filter(early), caps.filter(~early)):
+        state = splits.update_splits(state, _capsule_links(spark, d, part))
+    return state
+
+
+@LLM.query("p1_found", oracles.P1_FOUND)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The group of every capsule tied to a source."""
-    state, anchors = _split_all(spark, d)
-    return splits.source_groups(state, anchors).select("group_id", F.col("record_id").alias("capsule_id"))
+    return splits.source_groups(_split_all(spark, d)).select("group_id", F.col("record_id").alias("capsule_id"))
 
 
 @LLM.query("p1_splits")
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     """The split of every capsule."""
-    state, anchors = _split_all(spark, d)
-    return splits.record_splits(state, anchors).select(F.col("record_id").alias("capsule_id"), "component_id", "split")
+    return splits.record_splits(_split_all(spark, d)).select(F.col("record_id").alias("capsule_id"), "component_id", "split")
+
+
+@LLM.query("p1_components", oracles.P1_COMPONENTS)
+def p1_components(spark: SparkSession, d: str) -> DataFrame:
+    """How many components of each size the capsules form."""
+    return _split_all(spark, d).components.filter("n_records > 0").groupBy("n_records").agg(F.count(F.lit(1)).alias("n_components"))
 
 
 @LLM.query("p1_shares")
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share each split was to have and has of the capsules."""
-    state, _ = _split_all(spark, d)
-    return _shares(spark, state)
+    return _shares(spark, _split_all(spark, d))
 
 
 def _shares(spark: SparkSession, state: splits.SplitState) -> DataFrame:
     want = spark.createDataFrame(list(splits.SHARES) + [(splits.QUARANTINE, 0.0)], "split string, target_share double")
-    n = state.components.groupBy("split").agg(F.sum("n_records").alias("n_records"), F.count(F.lit(1)).alias("n_components"))
+    n = state.components.groupBy("split").agg(F.sum("n_records").alias("n_records"), F.count(F.lit(1)).alias("n_components"), F.max("n_records").alias("largest_component"))
     total = state.components.agg(F.sum("n_records").alias("total"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
     return want.join(n, "split", "left").crossJoin(F.broadcast(total)).select(  # the total is one row
-        "split", "target_share", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_components", F.lit(0)).alias("n_components"), (F.coalesce("n_records", F.lit(0)) / F.col("total")).alias("share")
+        "split", "target_share", zero("n_records").alias("n_records"), zero("n_components").alias("n_components"), zero("largest_component").alias("largest_component"), F.coalesce(F.try_divide(zero("n_records"), "total"), F.lit(0.0)).alias("share")
     )
 
 
 @LLM.query("p1_two_batches")
 def p1_two_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Shares and quarantined merges after the capsules came in two batches, those without a time or before 2024 first."""
-    caps = table(spark, d, "capsules")
-    early = F.coalesce(F.col("temporal.constructed_at") < F.lit("2024-01-01").cast("timestamp"), F.lit(True))
-    state = splits.SplitState.empty(spark)
-    for part in (caps.filter(early), caps.filter(~early)):
-        links, anchors = _capsule_links(spark, d, part)
-        state = splits.update_splits(state, links, anchors)
-    return _shares(spark, state)
+    """Shares after two batches."""
+    return _shares(spark, _two_batches(spark, d))
+
+
+@LLM.query("p1_conflicts")
+def p1_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """The merges quarantined in the second batch: which component could not join which, and the splits that met."""
+    return _two_batches(spark, d).conflicts
 
 
 # 2 Same or near-same records across splits
@@ -132,24 +145,24 @@ def _listed_capsules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
     return records, table(spark, d, "split_members").select(F.col("split_name").alias("split"), F.col("capsule_id").alias("record_id"))
 
 
-@LLM.query("p2_found")
+@LLM.query("p2_found", oracles.P2_FOUND)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of capsules that recur across an evaluation split and train."""
     return overlap.cross_split_pairs(*_listed_capsules(spark, d)).select(F.col("split").alias("eval_split"), F.col("a").alias("capsule_a"), F.col("b").alias("capsule_b"))
 
 
-@LLM.query("p2_by_source")
+@LLM.query("p2_classes")
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The linked classes with their numbers of capsules on both sides; copies are not expanded."""
+    return overlap.cross_split(*_listed_capsules(spark, d)).counts().withColumnRenamed("split", "eval_split")
+
+
+@LLM.query("p2_by_source", oracles.P2_BY_SOURCE)
 def p2_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Pairs per evaluation split and source of either capsule; a pair counts once for each of its sources, under null if it has none."""
-    records, members = _listed_capsules(spark, d)
-    pairs = scratch(overlap.cross_split_pairs(records, members), "pairs")
-    of = table(spark, d, "capsules").select(F.col("ids.capsule_id").alias("id"), F.explode_outer("provenance_sources.source_id").alias("source_id")).distinct()
-    ends = pairs.select("split", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
-    with_source = ends.join(of, "id", "left").select("split", "a", "b", "source_id").distinct()
-    any_source = with_source.groupBy("split", "a", "b").agg(F.array_compact(F.collect_set("source_id")).alias("s"))
-    return (
-        any_source.select("split", F.explode_outer("s").alias("source_id")).groupBy(F.col("split").alias("eval_split"), "source_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-    )
+    of = table(spark, d, "capsules").select(F.col("ids.capsule_id").alias("record_id"), F.explode("provenance_sources.source_id").alias("grp"))
+    found = overlap.cross_split(*_listed_capsules(spark, d)).pairs_by_group(of)
+    return found.select(F.col("split").alias("eval_split"), F.col("grp").alias("source_id"), "n_pairs")
 
 
 @LLM.query("p2_overlap")
