@@ -1,35 +1,38 @@
 """Mixing sources to target weights.
 
-Token shares are exponentiated: a source's multiple over its natural share is
-raised to the largest exponent, found by bisection, at which no document is
-repeated too often. The weights are then realised as budgeted permutations:
-whole passes over a source, and of one more pass the blocks, in a seeded order,
-that fill its budget.
-
-Scale: token counts are made once per document and written; sources and blocks
-are bounded tables, and only the one block of a source that its budget ends in
-is ordered document by document.
+Two ways to weights. By temperature: the sources' natural token shares are
+raised to one exponent, found by bisection so that the normalised weights have a
+target entropy, or as near to it as the repetition limits allow. By target
+shares: each source is given its share of the budget itself, held to its limit;
+one exponent for all sources cannot meet shares that are given source by source.
+Either way the weights are realised as budgeted permutations: whole passes over
+a source, and of one more pass the blocks, in a seeded order, that fill its
+budget.
+
+Scale: token counts are made once per document and written. Sources, plans and
+blocks are tables, however many sources there are; the driver sees sums over
+sources only. Documents of large sources find their plan without a shuffle, and
+only the one block of a source that its budget ends in is ordered document by
+document.
 """
 
 from __future__ import annotations
 
 import base64
-import math
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimloom.operators.skew import hot_of_counts, lookup_join
 from claimloom.session import scratch
 
 TOKENIZER = os.environ.get("CLAIMLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How the vocabulary's public tokenizer splits a text before its merges: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: At most so many sources, as their totals come to the driver.
-MAX_SOURCES = 100_000
 BLOCKS = 4096
 
 _encodings: dict[str, object] = {}
@@ -62,137 +65,132 @@ def source_name(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.trim(F.regexp_replace(c, r"(?U)[\s_-]+", " ")), " ", "-"))
 
 
-def bisect_exponent(holds: Callable[[float], bool], lo: float = 0.0, hi: float = 1.0, steps: int = 60) -> float:
-    """The largest exponent in lo..hi at which holds is true; holds must be true up to some exponent and false from there on."""
-    if holds(hi):
-        return hi
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if holds(mid) else (lo, mid)
-    return lo
+#: Exponents tried at once, and how often the interval is cut to one of their steps.
+_STEPS, _ROUNDS = 32, 6
 
 
-def entropy(weights: dict[str, float]) -> float:
-    return -sum(w * math.log(w) for w in weights.values() if w > 0)
+def temperature(sources: DataFrame, entropy: float, budget: float) -> float:
+    """The exponent of temperature mixing for sources(available_tokens, max_repeats).
 
-
-def tempered(shares: dict[str, float], exponent: float) -> dict[str, float]:
-    """Shares raised to the exponent and made to sum to one; 1 keeps them, 0 makes them equal."""
-    raised = {s: x**exponent for s, x in shares.items() if x > 0}
-    total = sum(raised.values())
-    return {s: x / total for s, x in raised.items()}
-
-
-def weights_for_entropy(shares: dict[str, float], target: float, max_repeats: dict[str, int] | None = None, budget: float = 1.0) -> tuple[float, dict[str, float]]:
-    """The exponent and weights with at least the target entropy, or the nearest to it that the repetition limits allow.
-
-    shares are natural token shares. Lower exponents are more even; with
-    budget (in multiples of all tokens) and max_repeats a source may get at
-    most max_repeats times its tokens.
-    """
-    exponent = bisect_exponent(lambda e: entropy(tempered(shares, e)) >= target)
-    if max_repeats is not None:
-        def too_often(e: float) -> bool:
-            return any(w * budget > max_repeats.get(s, 1) * shares[s] * (1 + 1e-12) for s, w in tempered(shares, e).items())
-
-        if too_often(exponent) and not too_often(1.0):
-            exponent = -bisect_exponent(lambda m: not too_often(-m), -1.0, -exponent)
-    return exponent, tempered(shares, exponent)
-
-
-def target_weights(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: int) -> dict[str, tuple[float, float]]:
-    """source: (exponent, weight in parts of the budget) for targets {source: (share, max_repeats)}.
-
-    A source with the natural share p = tokens / budget is to be repeated
-    target / p times; that multiple is raised to the largest exponent in 0..1
-    at which it is within the repetition limit. A source that can reach its
-    share has exponent 1 and exactly that weight; one that can't is repeated
-    as often as it may. A source without tokens has weight 0.
-    """
-    out = {}
-    for s, (share, most) in targets.items():
-        p = tokens.get(s, 0) / budget if budget else 0.0
-        if p <= 0 or share <= 0 or most <= 0:
-            out[s] = (0.0, 0.0)
-            continue
-        times = share / p
-        if times <= most:
-            out[s] = (1.0, share)
-        elif most == 1:
-            out[s] = (0.0, p)
-        else:
-            e = bisect_exponent(lambda x: times**x <= most)
-            out[s] = (e, min(p * times**e, p * most))
-    return out
-
-
-def mixture(documents: DataFrame, targets: DataFrame, seed: int = 11, tokenizer: str = TOKENIZER, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The mixture and its shares.
-
-    documents(doc_id, source, text), targets(source, target_share,
-    max_repeats), each source at most once after its name is evened out (of
-    more, the one with the largest share counts). budget is the tokens the
-    shares are taken of: by default all tokens of documents.text, of sources
-    in targets or not. Rows with a null doc_id are passed over; documents
-    without a source in targets (null ones too) or without tokens are in no
-    mixture; repeated rows of a doc_id are one document, the row that is first by
-    source and tokens.
-    Empty tables give an empty mixture and shares of 0.
-
-    Returns (mixture: doc_id, source, pass_no, n_tokens, one row for each time
-    a document occurs), (shares: source, target_share, max_repeats,
-    available_tokens, exponent, mixed_tokens, share_of_budget,
-    share_of_mixture, most_repeats, reached).
+    It is the largest in 0..1 at which the normalised weights have at least the
+    entropy, or, where a source would be repeated too often in so many tokens,
+    the smallest above it at which none is; 1 (the natural shares) if no lower
+    one will do. Sources without tokens take no part. Each round of the
+    bisection is one aggregation over the sources.
     """
-    spark = documents.sparkSession
+    own = sources.filter("available_tokens > 0 and max_repeats > 0")
+    total = own.agg(F.sum("available_tokens")).first()[0]
+    if not total or budget <= 0:
+        return 1.0
+    p = F.col("available_tokens") / F.lit(float(total))
+
+    def measured(low: float, high: float) -> list[tuple[float, float, bool]]:
+        """(exponent, entropy, within the limits) from low to high."""
+        tried = sorted({low + (high - low) * i / _STEPS for i in range(_STEPS + 1)})
+        at = own.withColumn("e", F.explode(F.array(*[F.lit(e) for e in tried])))
+        raised = F.pow(p, "e")
+        rows = at.groupBy("e").agg(F.sum(raised).alias("z"), F.sum(raised * F.log(p)).alias("s"), F.max(raised / p / F.col("max_repeats")).alias("m"), F.log(F.sum(raised)).alias("lz")).collect()
+        return sorted((r["e"], r["lz"] - r["e"] * r["s"] / r["z"], r["m"] / r["z"] * budget <= total * (1 + 1e-12)) for r in rows)
+
+    def bisected(holds) -> float:
+        """Where holds, true from some exponent down, stops being so."""
+        low, high = 0.0, 1.0
+        for _ in range(_ROUNDS):
+            good = [m[0] for m in measured(low, high) if holds(m)]
+            if not good:
+                return low
+            if max(good) == high:
+                return high
+            low, high = max(good), max(good) + (high - low) / _STEPS
+        return low
+
+    even = bisected(lambda m: m[1] >= entropy)
+    free = bisected(lambda m: not m[2])  # repetition only falls as the exponent rises
+    return even if measured(even, even)[0][2] else min(1.0, free + _STEPS**-_ROUNDS)
+
+
+def _counted(documents: DataFrame, targets: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame, int]:
+    """(docs: doc_id, source, n_tokens; sources: source, target_share, max_repeats, available_tokens, n_docs, largest; all tokens)."""
     one = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name("source").alias("source"), "text").filter("doc_id is not null")
     counted = scratch(one.select("doc_id", "source", count_tokens("text", tokenizer).alias("n_tokens")), "tokens")
     docs = scratch(counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("x")).select("doc_id", "x.*"), "docs")
     wanted = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").filter("source is not null")
-    wanted = wanted.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("x")).select("source", "x.*")
-    goals = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in wanted.limit(MAX_SOURCES + 1).collect()}
-    if len(goals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    total = docs.agg(F.sum("n_tokens")).first()[0] or 0
-    budget = total if budget is None else budget
-    in_goal = docs.join(F.broadcast(wanted.select("source")), "source", "left_semi").filter("n_tokens > 0")  # at most MAX_SOURCES names
-    tokens = {r[0]: r[1] for r in in_goal.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    weights = target_weights(tokens, goals, budget)
-    plan = []
-    for s, (e, w) in weights.items():
-        have, want = tokens.get(s, 0), round(w * budget)
-        passes = min(want // have, goals[s][1]) if have else 0
-        plan.append((s, float(e), int(passes), int(want - passes * have) if passes < goals[s][1] else 0))
-    plans = spark.createDataFrame(plan, "source string, exponent double, passes int, rest long")
-
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    placed = in_goal.join(F.broadcast(plans.select("source", "passes", "rest")), "source").withColumn("h", order).withColumn("block", F.pmod("h", F.lit(BLOCKS)))
-    block_order = F.xxhash64(F.lit(seed), "source", "block")
+    wanted = wanted.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("x")).select("source", F.coalesce("x.target_share", F.lit(0.0)).alias("target_share"), F.coalesce("x.max_repeats", F.lit(0)).alias("max_repeats"))
+    own = docs.filter("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("n_tokens").alias("largest"))
+    sources = scratch(wanted.join(own, "source", "left").fillna(0, ["available_tokens", "n_docs", "largest"]), "sources")
+    return docs, sources, docs.agg(F.sum("n_tokens")).first()[0] or 0
+
+
+def _realised(docs: DataFrame, wants: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, n_tokens, times: documents of wants(source, max_repeats, available_tokens, n_docs, want) as often as fills the tokens wanted, written."""
+    passes = F.when(F.col("available_tokens") > 0, F.least(F.floor(F.col("want") / F.col("available_tokens")), "max_repeats")).otherwise(0)
+    plans = wants.withColumn("passes", passes.cast("int")).withColumn("rest", F.when(F.col("passes") < F.col("max_repeats"), F.col("want") - F.col("passes") * F.col("available_tokens")).otherwise(0))
+    plans = scratch(plans.filter("available_tokens > 0"), "plans")
+    placed = lookup_join(docs.filter("n_tokens > 0"), plans.select("source", "passes", "rest"), "source", hot_of_counts(plans, "source", "n_docs"), "inner")
+    placed = placed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("block", F.pmod("h", F.lit(BLOCKS)))
     by_source = W.partitionBy("source").orderBy("bh", "block")
     blocks = (  # at most BLOCKS rows a source
         placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("bn"), F.max("rest").alias("rest"))
-        .withColumn("bh", block_order).withColumn("before", F.sum("bn").over(by_source) - F.col("bn"))
+        .withColumn("bh", F.xxhash64(F.lit(seed), "source", "block")).withColumn("before", F.sum("bn").over(by_source) - F.col("bn"))
         .select("source", "block", "before", (F.col("before") + F.col("bn") <= F.col("rest")).alias("whole"), ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("bn") > F.col("rest"))).alias("last"))
     )
-    with_block = placed.join(blocks, ["source", "block"])
+    with_block = placed.join(blocks.hint("merge"), ["source", "block"])
     inner = W.partitionBy("source", "block").orderBy("h", "doc_id")
     ending = with_block.filter("last").withColumn("upto", F.col("before") + F.sum("n_tokens").over(inner)).withColumn("extra", (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
     others = with_block.filter("not last").withColumn("extra", F.col("whole").cast("int"))
-    chosen = ending.select("doc_id", "source", "n_tokens", "passes", "extra").unionByName(others.select("doc_id", "source", "n_tokens", "passes", "extra"))
-    times = scratch(chosen.withColumn("times", F.col("passes") + F.col("extra")).filter("times > 0").select("doc_id", "source", "n_tokens", "times"), "mixture")
-    rows = times.select("doc_id", "source", F.explode(F.expr("sequence(1, times)")).alias("pass_no"), "n_tokens")
+    cols = ["doc_id", "source", "n_tokens", "passes", "extra"]
+    chosen = ending.select(*cols).unionByName(others.select(*cols))
+    return scratch(chosen.withColumn("times", F.col("passes") + F.col("extra")).filter("times > 0").select("doc_id", "source", "n_tokens", "times"), "mixture")
 
+
+def mixture(documents: DataFrame, targets: DataFrame, seed: int = 11, tokenizer: str = TOKENIZER, budget: int | None = None, entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The mixture and its shares.
+
+    documents(doc_id, source, text), targets(source, target_share,
+    max_repeats), each source at most once after its name is evened out (of
+    more, the one with the largest share counts). budget is the tokens the
+    mixture is to have: by default all tokens of documents.text, of sources in
+    targets or not. Each source gets its target_share of it, or as much as
+    max_repeats allows. With an entropy, target_share is not used: the budget is
+    by default what the sources have, and the weights are the natural shares by
+    temperature. Rows with a null doc_id are passed over; documents without a
+    source in targets (null ones too) or without tokens are in no mixture;
+    repeated rows of a doc_id are one document, the row that is first by source
+    and tokens. Empty tables give an empty mixture and shares of 0.
+
+    Returns (mixture: doc_id, source, pass_no, n_tokens, one row for each time
+    a document occurs), (shares: source, target_share, max_repeats,
+    available_tokens, weight, exponent, mixed_tokens, share_of_budget,
+    share_of_mixture, most_repeats, reached). weight is what the source was to
+    have of the budget and exponent null without temperature; reached says
+    whether the tokens mixed come, within one document, to the target (with an
+    entropy, to the weight).
+    """
+    docs, sources, total = _counted(documents, targets, tokenizer)
+    exponent = F.lit(None).cast("double")
+    most = F.col("max_repeats") * F.col("available_tokens")
+    if entropy is None:
+        budget = total if budget is None else budget
+        sources = sources.withColumn("weight", F.least(F.col("target_share"), F.coalesce(F.try_divide(most, F.lit(budget)), F.lit(0.0))))
+        goal = F.col("target_share")
+    else:
+        have = sources.filter("max_repeats > 0").agg(F.sum("available_tokens")).first()[0] or 0
+        budget = have if budget is None else budget
+        e = temperature(sources, entropy, budget)
+        exponent = F.lit(e)
+        raised = F.when((F.col("available_tokens") > 0) & (F.col("max_repeats") > 0), F.pow(F.col("available_tokens") / F.lit(float(max(have, 1))), F.lit(e))).otherwise(0.0)
+        whole = sources.agg(F.sum(raised)).first()[0] or 1.0
+        sources = sources.withColumn("weight", raised / F.lit(whole))
+        goal = F.col("weight")
+    wants = sources.withColumn("want", F.round(F.least(F.col("weight") * F.lit(budget), most.cast("double"))).cast("long"))
+    wants = scratch(wants, "wants")
+    times = _realised(docs, wants, seed)
+    rows = times.select("doc_id", "source", F.explode(F.expr("sequence(1, times)")).alias("pass_no"), "n_tokens")
     mixed = times.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("mixed_tokens"), F.max("times").alias("most_repeats"))
-    own = spark.createDataFrame([(s, int(n)) for s, n in tokens.items()], "source string, available_tokens long")
     in_mix = mixed.agg(F.sum("mixed_tokens").alias("in_mix"))
-    shares = (
-        wanted.join(own, "source", "left").join(plans.select("source", "exponent"), "source").join(mixed, "source", "left").crossJoin(F.broadcast(in_mix))  # one row
-        .select(
-            "source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), "exponent",
-            F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
-            (F.coalesce("mixed_tokens", F.lit(0)) / F.lit(max(budget, 1))).alias("share_of_budget"),
-            F.when(F.col("in_mix") > 0, F.coalesce("mixed_tokens", F.lit(0)) / F.col("in_mix")).otherwise(0.0).alias("share_of_mixture"),
-            F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (F.col("exponent") == 1.0).alias("reached"),
-        )
+    mixed_tokens = F.coalesce("mixed_tokens", F.lit(0))
+    shares = wants.join(mixed, "source", "left").crossJoin(F.broadcast(in_mix)).select(  # one row
+        "source", "target_share", "max_repeats", "available_tokens", "weight", exponent.alias("exponent"), mixed_tokens.alias("mixed_tokens"), F.coalesce(F.try_divide(mixed_tokens, F.lit(budget)), F.lit(0.0)).alias("share_of_budget"),
+        F.when(F.col("in_mix") > 0, mixed_tokens / F.col("in_mix")).otherwise(0.0).alias("share_of_mixture"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (mixed_tokens + F.col("largest") >= goal * F.lit(budget)).alias("reached"),
     )
     return rows, shares

@@ -83,3 +83,9 @@ firsts AS (SELECT record_set, id, min(id) OVER (PARTITION BY record_set, k) AS f
 P3_FOUND = "WITH " + _KEYS + "SELECT record_set, first_id, id AS copy_id FROM firsts WHERE id <> first_id"
 
 P3_RECORDS = "WITH " + _KEYS + "SELECT record_set, first_id, count(*) AS n_copies FROM firsts GROUP BY ALL"
+
+_GRAMS = "SELECT DISTINCT {key}, array_to_string(w[i + 1 : i + 12], ' ') AS g FROM (SELECT {key}, w, unnest(range(len(w) - 11)) AS i FROM (SELECT {key}, {words} AS w FROM {table} WHERE {text} IS NOT NULL))"
+_LEAKS = f"""d AS ({_GRAMS.format(key="doc_id", words=words("text"), table="documents", text="text")}), i AS ({_GRAMS.format(key="item_id", words=words("item_text"), table="eval_items", text="item_text")})
+"""
+
+P7_FOUND = "WITH " + _LEAKS + "SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"

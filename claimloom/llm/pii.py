@@ -22,7 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,13 +39,29 @@ IDENTITY_LABELS = ("passport", "passeport", "ssn", "dni", "identity", "identité
 STREET_WORDS = ("street", "lane", "road", "rd", "avenue", "ave", "drive", "square", "rue", "calle", "avenida", "plaza", "via", "box")
 STREET_ENDINGS = ("weg", "straat", "strasse", "straße", "gasse", "platz", "allee", "laan")
 
-_UP = "A-ZÀ-ÖØ-Þ"
+
+def _ranges(categories: tuple[str, ...]) -> str:
+    """The characters of the Unicode categories as ranges of a pattern's class."""
+    out: list[list[int]] = []
+    for c in range(0x10000):
+        if unicodedata.category(chr(c)) in categories:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+_UP = _ranges(("Lu", "Lt"))
 _LETTERS = r"(?:[^\W\d_]|[’'])"
 _CAP = rf"[{_UP}]{_LETTERS}+(?:-(?:[a-z]{{1,3}}-)?[{_UP}]{_LETTERS}+)*(?![\w])"
 _AT = r"(?: ?[@＠] ?| ?(?:\[at\]|\(at\)|\{at\}) ?| AT )"
 _DOT = r"(?:\.| ?(?:\[dot\]|\(dot\)|\{dot\}) ?| DOT )"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 EMAIL = re.compile(rf"(?<![\w.+%-])(?P<local>[A-Za-z0-9][\w.+%-]*){_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![\w-])|(?<![\w.+%-])[A-Za-z0-9][\w.+%-]* at {_LABEL}(?: dot {_LABEL})* dot [A-Za-z]{{2,}}(?![\w-])")
+_SIGN = re.compile(rf"{_AT}| at ")
+_POINT = re.compile(r" ?(?:\[dot\]|\(dot\)|\{dot\}) ?| DOT | dot ")
+LABEL = re.compile(rf"(?<![^\W_])(?:{'|'.join(PHONE_LABELS + IDENTITY_LABELS)})(?![^\W_])", re.I)
 EMAIL_HINT = re.compile(r"[@＠]|[\[({ ][aA][tT][\])} ]")
 NUMBER = re.compile(
     r"(?<![\w@.+/,=&?#-])(?:"
@@ -53,13 +69,19 @@ NUMBER = re.compile(
     r"|[A-Z]{1,3}\d{5,}[A-Z]?|[A-Z]{1,3}(?: \d{2,4}){2,5} [A-Z](?!\w)"
     r")(?![\w@/]|[.,-]\d)"
 )
-_LEAST_DIGITS = 6
-NAME = re.compile(rf"(?<![\w’'-])(?=({_CAP})(,?)[  ](?:([{_UP}])\.[  ])?({_CAP})|([{_UP}])\.[  ]({_CAP}))")
+#: Numbers of fewer digits are proposed only where a label stands before them.
+_LEAST_DIGITS = 4
+_BLANK = r"[ \xa0]"
+_INITIALS = rf"(?:[{_UP}]\.{_BLANK}?)+"
+NAME = re.compile(rf"(?<![\w’'-])(?=({_CAP})(,?){_BLANK}(?:({_INITIALS}))?({_CAP})|({_INITIALS})({_CAP}))")
+#: The initials may stand after the family name; the word after them, if any, may be the family name they belong to instead.
+NAME_BEFORE_INITIALS = re.compile(rf"(?<![\w’'-])(?=({_CAP}),?{_BLANK}({_INITIALS})({_CAP})?)")
+HAS_INITIAL = re.compile(rf"(?<![\w’'-])[{_UP}]\.")
 _PLACE = rf"{_CAP}(?: {_CAP}){{0,2}}"
 ADDRESS = re.compile(
     rf"(?<![\w’'-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room) \d+[A-Z]?, )?"
     rf"(?:(?P<box>P\.? ?O\.? ?Box) \d+|\d{{1,4}}[A-Za-z]?,? (?P<pre>(?:[a-zà-ÿ]+ )(?:(?:de|du|des|la|del) )*)?(?P<mid>{_CAP}(?: {_CAP}){{0,2}}\.?)|(?P<lead>{_CAP} )?(?P<word>{_CAP}) \d{{1,4}}[A-Za-z]?(?:-\d{{1,4}})?)"
-    rf", (?:(?P<code1>\d{{4,6}}) (?P<place1>{_PLACE})|(?P<place2>{_PLACE}?) (?P<code2>\d{{4,6}})(?!\w)|(?P<place3>{_PLACE}))"
+    rf"(?:, ?|,?[ \t]*\r?\n[ \t]*)(?:(?P<code1>\d{{4,6}}) (?P<place1>{_PLACE})|(?P<place2>{_PLACE}?) (?P<code2>\d{{4,6}})(?!\w)|(?P<place3>{_PLACE}))"
 )
 _SIDE = re.compile(r"[^\W\d_]+|\d[\d .()/+-]*|[;|]|\n")
 _SCHEMA = "doc_id long, kind string, start int, stop int, form string, a string, b string, l1 string, l2 string, r1 string, r2 string, label string, low_a boolean, low_b boolean"
@@ -95,6 +117,14 @@ def _label(left: list[str]) -> str | None:
     return None
 
 
+def written_as(address: str) -> tuple[str, str]:
+    """How an e-mail address is written out (what stands for the sign and for the points), and its domain in plain form."""
+    m = _SIGN.search(address)
+    domain = address[m.end() :]
+    point = _POINT.search(domain)
+    return m[0].replace("＠", "@") + (point[0] if point else "."), _norm(_POINT.sub(".", domain))
+
+
 def street_type(m: re.Match) -> str:
     """The word that tells what kind of street a match has."""
     if m["box"]:
@@ -115,15 +145,20 @@ def candidates(doc_id: int, text: str) -> Iterator[tuple]:
     if EMAIL_HINT.search(text):
         for m in EMAIL.finditer(text):
             taken.append(m.span())
-            yield doc_id, "email", m.start(), m.end(), "", "", "", "", "", "", "", None, False, False
+            form, domain = written_as(m[0])
+            yield doc_id, "email", m.start(), m.end(), "", form, domain, "", "", "", "", None, False, False
+    labels = [m.start() for m in LABEL.finditer(text)]
     for m in NUMBER.finditer(text):
         a, b = m.span()
-        if b - a < _LEAST_DIGITS or sum(map(str.isdigit, m[0])) < _LEAST_DIGITS:
-            continue
         if any(a < y and x < b for x, y in taken):
             continue
+        few = b - a < _LEAST_DIGITS or sum(map(str.isdigit, m[0])) < _LEAST_DIGITS
+        if few and not any(x < a <= x + 40 for x in labels):
+            continue
         l1, l2, r1, r2, left = _sides(text, a, b)
-        yield doc_id, "number", a, b, "", shape(m[0]), "", l1, l2, r1, r2, _label(left), False, False
+        label = _label(left)
+        if label or not few:
+            yield doc_id, "number", a, b, "", shape(m[0]), "", l1, l2, r1, r2, label, False, False
     for m in ADDRESS.finditer(text):
         start = m.start()
         kind = street_type(m)
@@ -141,17 +176,22 @@ def candidates(doc_id: int, text: str) -> Iterator[tuple]:
                 p = " ".join(parts[:k])
                 yield doc_id, "address", start, at + len(p), "coded" if code else "bare", kind, _norm(p), l1, l2, "", "", code, False, False
     for m in NAME.finditer(text):
-        w1, comma, _, w2, initial, alone = m.groups()
-        if initial:
-            stop, form, a, b, words = m.end(6), "if", "", alone, (alone,)
+        w1, comma, initials, w2, before, alone = m.groups()
+        if before:
+            stop, form, a, b = m.end(6), "if", "", alone
         else:
-            stop, words = m.end(4), (w1, w2)
+            stop = m.end(4)
             form, a, b = ("fg", w2, w1) if comma else ("gf", w1, w2)
-        if any(len(w) < 3 for w in words):
-            continue
-        l1, l2, r1, r2, _ = _sides(text, m.start(), stop)
-        a, b = _norm(a), _norm(b).split("-")[0]
-        yield doc_id, "name", m.start(), stop, form, a, b, l1, l2, r1, r2, None, bool(a) and f" {a} " in text, f" {b} " in text
+        yield _name(doc_id, text, m.start(), stop, form, a, b, None)
+    if HAS_INITIAL.search(text):
+        for m in NAME_BEFORE_INITIALS.finditer(text):
+            yield _name(doc_id, text, m.start(), m.start(2) + len(m[2].rstrip()), "fi", "", m[1], m[3])
+
+
+def _name(doc_id: int, text: str, start: int, stop: int, form: str, a: str, b: str, after: str | None) -> tuple:
+    l1, l2, r1, r2, _ = _sides(text, start, stop)
+    a, b = _norm(a), _norm(b).split("-")[0]
+    return doc_id, "name", start, stop, form, a, b, l1, l2, r1, r2, after and _norm(after).split("-")[0], bool(a) and f" {a} " in text, f" {b} " in text
 
 
 def propose(documents: DataFrame) -> DataFrame:
@@ -166,9 +206,36 @@ def propose(documents: DataFrame) -> DataFrame:
     return scratch(own.mapInPandas(make, _SCHEMA), "candidates")
 
 
+# E-mail addresses
+
+
+def _emails(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """E-mail addresses: ways of writing and domains score each other, from the sign itself and its bracketed stand-ins on.
+
+    What only looks like one (`at` and `dot` as words) needs a domain that is
+    known from elsewhere, or a way of writing that most often has such domains.
+    """
+    rows = found.filter("kind = 'email'").select("doc_id", "start", "stop", F.col("a").alias("form"), F.col("b").alias("domain"))
+    edges = scratch(rows.groupBy("form", "domain").agg(F.count(F.lit(1)).cast("double").alias("n")), "edges")
+    seeds = edges.select("form").distinct().filter(F.col("form").rlike(r"[@\[({]")).withColumn("score", F.lit(1.0))
+    forms = domains = seeds
+    for _ in range(rounds):
+        domains = scratch(edges.join(forms.filter(F.col("score") >= CONFIDENT), "form").select("domain").distinct().withColumn("sure", F.lit(1.0)), "domains")
+        seen = edges.join(domains, "domain", "left")
+        learned = seen.groupBy("form").agg((F.sum(F.col("n") * F.coalesce("sure", F.lit(0.0))) / F.sum("n") * F.when(F.count("sure") >= 2, 1.0).otherwise(0.0)).alias("score"))
+        forms = scratch(learned.unionByName(seeds).groupBy("form").agg(F.max("score").alias("score")), "forms")
+    sure = edges.join(forms, "form").join(domains, "domain", "left").filter((F.col("score") >= CONFIDENT) | F.col("sure").isNotNull()).select("form", "domain")
+    return rows.join(sure, ["form", "domain"], "left_semi").select("doc_id", F.lit("email").alias("pii_kind"), "start", "stop")
+
+
 # Names
 
 
+def _lone() -> Column:
+    """Whether a candidate has initials in place of a given name."""
+    return F.col("form").isin("if", "fi")
+
+
 def score_names(found: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """word, role (given or family), score of name parts, from seeds known(word, role)."""
     names = found.filter("kind = 'name'")
@@ -183,7 +250,7 @@ def score_names(found: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Dat
         given = scores.filter("role = 'given'").select(F.col("word").alias("a"), F.col("score").alias("g"))
         family = scores.filter("role = 'family'").select(F.col("word").alias("b"), F.col("score").alias("f"))
         scored = edges.join(given, "a", "left").join(family, "b", "left").fillna(0.0, ["g", "f"])
-        scored = scratch(scored.withColumn("c", F.when(F.col("form") == "if", 0.0).otherwise(F.col("g") * F.col("f"))), "scored")
+        scored = scratch(scored.withColumn("c", F.when(_lone(), 0.0).otherwise(F.col("g") * F.col("f"))), "scored")
         # a pattern is worth the part of what it extracts that is confident, once that is more than one name
         sides = scored.select(F.explode(F.array("lp", "rp")).alias("p"), "a", "b", "n", "c")
         per_pair = sides.groupBy("p", "a", "b").agg(F.sum("n").alias("n"), F.max("c").alias("c"))
@@ -196,7 +263,7 @@ def score_names(found: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Dat
         # a part is worth what extracts it: its partner, less where a pattern seen often never extracts a name (`The _ index`), or less surely the pattern alone; words also written small are no names
         def parts(word: str, other: str, small: str, role: str) -> DataFrame:
             ev = F.when(F.col("against"), F.col(other) * 0.4).otherwise(1 - (1 - F.col(other)) * (1 - F.col("w")))
-            return both.filter(F.col(word) != "").select(F.col(word).alias("word"), F.lit(role).alias("role"), "n", (F.col("n") * ev).alias("x"), F.col(small).alias("s"), (F.col("form") == "if").alias("lone"))
+            return both.filter(F.col(word) != "").select(F.col(word).alias("word"), F.lit(role).alias("role"), "n", (F.col("n") * ev).alias("x"), F.col(small).alias("s"), _lone().alias("lone"))
 
         worth = parts("a", "f", "na", "given").unionByName(parts("b", "g", "nb", "family").filter("not lone"))
         learned = worth.groupBy("word", "role").agg((F.sum("x") / F.sum("n") * (1 - F.sum("s") / F.sum("n"))).alias("score"))
@@ -207,10 +274,12 @@ def score_names(found: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Dat
 def _names(found: DataFrame, scores: DataFrame) -> DataFrame:
     """Verdicts are made on the distinct names and joined back to their occurrences."""
     sure = scores.filter(F.col("score") >= CONFIDENT)
-    names = found.filter("kind = 'name'").select("doc_id", "start", "stop", "form", "a", "b")
+    names = found.filter("kind = 'name'").select("doc_id", "start", "stop", "form", "a", "b", F.coalesce("label", F.lit("")).alias("after"))
     family, given = sure.filter("role = 'family'").select(F.col("word").alias("b")), sure.filter("role = 'given'").select(F.col("word").alias("a"), F.lit(True).alias("is_given"))
-    verdicts = names.select("form", "a", "b").distinct().join(family, "b", "left_semi").join(given, "a", "left").filter("form = 'if' or is_given").select("form", "a", "b")
-    return names.join(verdicts, ["form", "a", "b"], "left_semi").select("doc_id", F.lit("name").alias("pii_kind"), "start", "stop")
+    verdicts = names.select("form", "a", "b", "after").distinct().join(family, "b", "left_semi").join(given, "a", "left").filter(_lone() | F.col("is_given"))
+    # initials before a family name belong to that one
+    verdicts = verdicts.join(family.select(F.col("b").alias("after")), "after", "left_anti").select("form", "a", "b", "after")
+    return names.join(verdicts, ["form", "a", "b", "after"], "left_semi").select("doc_id", F.lit("name").alias("pii_kind"), "start", "stop")
 
 
 # Numbers
@@ -304,14 +373,22 @@ def find_personal(documents: DataFrame, known_names: DataFrame) -> DataFrame:
     """
     found = propose(documents)
     known = known_names.filter("name_part is not null and name_kind in ('given', 'family')").select(F.lower("name_part").alias("word"), F.col("name_kind").alias("role"))
-    emails = found.filter("kind = 'email'").select("doc_id", F.lit("email").alias("pii_kind"), "start", "stop")
-    every = emails.unionByName(_numbers(found)).unionByName(_addresses(found)).unionByName(_names(found, score_names(found, known)))
+    every = _emails(found).unionByName(_numbers(found)).unionByName(_addresses(found)).unionByName(_names(found, score_names(found, known)))
     per_doc = every.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("stop")).alias("neg"), "pii_kind"))).alias("s"))  # of one text
-    kept = F.aggregate(
-        "s", F.array().cast("array<struct<start:int,neg:int,pii_kind:string>>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= -F.element_at(acc, -1)["neg"]), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return per_doc.select("doc_id", F.explode(kept).alias("x")).select("doc_id", F.col("x.pii_kind").alias("pii_kind"), F.col("x.start").cast("long").alias("start_char"), (-F.col("x.neg")).cast("long").alias("end_char"))
+    return per_doc.select("doc_id", F.explode(_without_overlaps("s")).alias("x")).select("doc_id", F.col("x.pii_kind").alias("pii_kind"), F.col("x.start_char").alias("start_char"), F.col("x.end_char").alias("end_char"))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pii_kind", T.StringType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType())])))
+def _without_overlaps(spans: pd.Series) -> pd.Series:
+    def one(s: list) -> list[dict]:
+        out, at = [], -1
+        for x in s:
+            if x["start"] >= at:
+                at = -x["neg"]
+                out.append({"pii_kind": x["pii_kind"], "start_char": x["start"], "end_char": at})
+        return out
+
+    return spans.map(one)
 
 
 @F.pandas_udf(T.StringType())

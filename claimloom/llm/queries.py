@@ -174,7 +174,7 @@ def p2_overlap(spark: SparkSession, d: str) -> DataFrame:
 # 7 Evaluation texts leaking into training text
 
 
-@LLM.query("p7_found")
+@LLM.query("p7_found", oracles.P7_FOUND)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the evaluation items they hold twelve or more words in a row of."""
     return postings.find_passages(postings.build_index(table(spark, d, "documents")), table(spark, d, "eval_items"))
@@ -197,7 +197,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 @LLM.query("p8_mixture")
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """The mixture, one row for each time a document occurs in it."""
+    """The mixture to target shares, one row for each time a document occurs in it."""
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
@@ -207,6 +207,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _entropy_of(targets: DataFrame) -> float:
+    """The entropy of the target shares."""
+    own = targets.filter("target_share > 0")
+    return own.agg((-F.sum(F.col("target_share") * F.log("target_share")) / F.sum("target_share") + F.log(F.sum("target_share")))).first()[0] or 0.0
+
+
+@LLM.query("p8_tempered")
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the mixture by temperature that is as even as the target shares are, with the same limits on repetition."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.mixture(table(spark, d, "documents"), targets, entropy=_entropy_of(targets))[1]
+
+
 # 9 Personal information inside free text
 
 

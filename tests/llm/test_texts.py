@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -107,6 +108,7 @@ def test_passages(spark, segment):
     own = [(d, t) for d, t in docs if d is not None and t is not None]
     real = [(i, t) for i, t in items if i is not None and t]
     assert {tuple(r) for r in postings.find_passages(index, q, 4).collect()} == brute_exact(own, real, 4)
+    assert {tuple(r) for r in postings.find_passages(index, q, 4, query_chars=60).collect()} == brute_exact(own, real, 4)  # in many blocks
     assert {tuple(r) for r in postings.find_passages(index, q, 4, slop=2).collect()} == brute_near(own, real, 4, 2)
 
 
@@ -122,17 +124,39 @@ def test_no_passages(spark):
 # mixtures
 
 
-def test_weights():
-    shares = {"a": 0.7, "b": 0.2, "c": 0.1}
-    assert mixing.tempered(shares, 1.0) == pytest.approx(shares) and mixing.tempered(shares, 0.0) == pytest.approx(dict.fromkeys("abc", 1 / 3))
-    e, w = mixing.weights_for_entropy(shares, 1.0)
-    assert mixing.entropy(w) == pytest.approx(1.0, abs=1e-6) and 0 < e < 1
-    e2, w2 = mixing.weights_for_entropy(shares, 1.09, {"a": 1, "b": 2, "c": 2})
-    assert e2 > 0 and all(w2[s] <= m * shares[s] + 1e-6 for s, m in {"a": 1, "b": 2, "c": 2}.items())
-    t = mixing.target_weights({"a": 70, "b": 30}, {"a": (0.4, 1), "b": (0.5, 1), "c": (0.1, 3), "d": (0.0, 1)}, 100)
-    assert t["a"] == (1.0, 0.4) and t["b"][1] == pytest.approx(0.3) and t["c"] == t["d"] == (0.0, 0.0)
-    e, w = mixing.target_weights({"a": 10}, {"a": (0.9, 3)}, 100)["a"]
-    assert w == pytest.approx(0.3) and 0 < e < 1
+def brute_temperature(tokens, limits, target, budget):
+    total = sum(tokens.values())
+    shares = {s: n / total for s, n in tokens.items()}
+
+    def weights(e):
+        raised = {s: x**e for s, x in shares.items()}
+        return {s: x / sum(raised.values()) for s, x in raised.items()}
+
+    def good(e):
+        w = weights(e)
+        return -sum(x * math.log(x) for x in w.values()) >= target, all(w[s] * budget <= limits[s] * tokens[s] * (1 + 1e-9) for s in w)
+
+    grid = [i / 20000 for i in range(20001)]
+    even = max((e for e in grid if good(e)[0]), default=0.0)
+    return even if good(even)[1] else min((e for e in grid if good(e)[1]), default=1.0)
+
+
+@pytest.mark.parametrize("target,limits,budget", [(1.0, (1, 9, 9), 1000), (1.0, (9, 9, 9), 1000), (1.09, (1, 2, 2), 1000), (0.1, (1, 1, 1), 1000), (2.0, (9, 9, 9), 1000), (2.0, (9, 9, 9), 1500), (1.0, (1, 1, 1), 5000)])
+def test_temperature(spark, target, limits, budget):
+    tokens = {"a": 700, "b": 200, "c": 100}
+    df = spark.createDataFrame([(s, n, m) for (s, n), m in zip(tokens.items(), limits)] + [("none", 0, 3), ("never", 50, 0)], "source string, available_tokens long, max_repeats int")
+    assert mixing.temperature(df, target, budget) == pytest.approx(brute_temperature(tokens, dict(zip(tokens, limits)), target, budget), abs=1e-4)
+    assert mixing.temperature(df.filter("false"), target, budget) == 1.0
+
+
+def test_tempered_mixture(spark):
+    df = spark.createDataFrame([(i, "a" if i % 10 else "b", "word " * 10) for i in range(1000)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", None, 3), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    mix, shares = mixing.mixture(df, targets, entropy=0.6)
+    s = {r["source"]: r for r in shares.collect()}
+    w = [s[x]["weight"] for x in "ab"]
+    assert sum(w) == pytest.approx(1) and -sum(x * math.log(x) for x in w) == pytest.approx(0.6, abs=1e-3) and 0 < s["a"]["exponent"] < 1
+    assert all(abs(s[x]["share_of_mixture"] - s[x]["weight"]) < 0.005 and s[x]["reached"] for x in "ab") and s["b"]["most_repeats"] <= 4
 
 
 def test_mixture(spark):
@@ -144,6 +168,7 @@ def test_mixture(spark):
     mix, shares = mixing.mixture(df, targets)
     s = {r["source"]: r for r in shares.collect()}
     assert abs(s["big"]["share_of_budget"] - 0.2) < 0.01 and abs(s["small-x"]["share_of_budget"] - 0.75) < 0.01 and s["none"]["mixed_tokens"] == 0
+    assert s["big"]["reached"] and s["small-x"]["reached"] and not s["none"]["reached"] and s["big"]["exponent"] is None
     times = {r["doc_id"]: r["n"] for r in mix.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     by = dict((d, src) for d, src, _ in docs if d is not None)
     assert all(n <= (1 if by[d] == "big" else 2) for d, n in times.items()) and not {1000, 1001, 1002} & set(times)
@@ -161,8 +186,8 @@ def test_empty_mixture(spark):
 
 # personal information
 
-GIVEN = ["Ada", "Bea", "Cid", "Dov", "Eli", "Fay"]
-FAMILY = ["Korvin", "Lumeth", "Mandor", "Norvath", "Orsel", "Pavlen"]
+GIVEN = ["Ada", "Bea", "Cid", "Dov", "Eli", "Fay", "Li", "Bo"]
+FAMILY = ["Korvin", "Lumeth", "Mandor", "Norvath", "Orsel", "Pavlen", "Ng", "Šimek"]
 HIDDEN = ["Quirin", "Rolvane"]
 PHONES = ["+999 12 345 6789", "0999 / 123 45 67", "(555) 014 7294", "1-555-012-9173"]
 IDS = ["930-32-3155", "QQ 56 26 40 B", "XQ1440303", "53643504-F"]
@@ -184,7 +209,7 @@ def corpus(n=240):
                 pos += len(p)
 
         g, f = rng.choice(GIVEN + HIDDEN[:1]), rng.choice(FAMILY + HIDDEN[1:])
-        name = ("name", rng.choice([f"{g} {f}", f"{f}, {g}", f"{g} T. {f}", f"{g} {f}".upper()]))
+        name = ("name", rng.choice([f"{g} {f}", f"{f}, {g}", f"{g} T. {f}", f"{g} {f}".upper(), f"{f}, {g[0]}.", f"{f} {g[0]}. T.", f"{g[0]}. T. {f}"]))
         say("The rate was measured in open trials. ")
         say(rng.choice(["We thank ", "Signed by "]), name, " for help. ")
         say(rng.choice(["Tel: ", "phone "]), ("phone", rng.choice(PHONES)), " is given. ")
@@ -194,7 +219,7 @@ def corpus(n=240):
         say("Specimen 945-98-9912 was dry. Grant 999-605-1204 paid. The Korvin index holds. ")
         say("Write to ", ("email", rng.choice([f"{g.lower()}@lab.example", f"{g.lower()} (at) lab (dot) test", f"{g.upper()}＠LAB.EXAMPLE"])), " or not. Accuracy is p@8 = 0.18 with corpus@6.11.0. ")
         place = rng.choice(["Ostmar", "Port Lunvow", "Velb"])
-        say("It went to ", ("address", rng.choice([f"{rng.randint(1, 99)} Quell Lane, {place} {rng.randint(10000, 99999)}", f"Calle Dorn {rng.randint(1, 99)}, {rng.randint(10000, 99999)} {place}", f"P.O. Box 7, {place} {rng.randint(10000, 99999)}", f"Flat 2, 18 Dorn Lane, {place}"])), ". Site Ostmar 87354 counts.")
+        say("It went to ", ("address", rng.choice([f"{rng.randint(1, 99)} Quell Lane, {place} {rng.randint(10000, 99999)}", f"Calle Dorn {rng.randint(1, 99)}, {rng.randint(10000, 99999)} {place}", f"P.O. Box 7, {place} {rng.randint(10000, 99999)}", f"Flat 2, 18 Dorn Lane, {place}", f"12B Dorn Rd.\n{place} {rng.randint(10000, 99999)}"])), ". Site Ostmar 87354 counts.")
         docs.append((i, "".join(parts)))
         spans[i] = at
     return docs, spans
