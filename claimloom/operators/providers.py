@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.session import scratch
+
 MIN_CONFIDENCE = 0.72
 HIGH_IMPACT = ("causal_claim",)
 
@@ -52,7 +54,9 @@ def replay_or_run(requests: DataFrame, cache: DataFrame, run: Callable[[pd.Serie
     """(answers, new cache rows) of requests(request_hash, input) against cache(request_hash, output).
 
     live takes cached answers and runs the rest, cache_only answers null for
-    what isn't cached, refresh runs all. Each distinct request is run once.
+    what isn't cached, refresh runs all. Each distinct request is run once (and
+    again only where a task is repeated after a failure): what the provider said
+    is written before it is used in either result.
     """
     if mode not in ("live", "cache_only", "refresh"):
         raise ValueError(mode)
@@ -65,7 +69,7 @@ def replay_or_run(requests: DataFrame, cache: DataFrame, run: Callable[[pd.Serie
             yield pdf.assign(output=run(pdf["input"]))[["request_hash", "output"]]
 
     missed = hits.filter("output is null").select("request_hash", "input")
-    fresh = missed.mapInPandas(call, "request_hash string, output string") if mode != "cache_only" else missed.select("request_hash", F.lit(None).cast("string").alias("output"))
+    fresh = scratch(missed.mapInPandas(call, "request_hash string, output string"), "answers") if mode != "cache_only" else missed.select("request_hash", F.lit(None).cast("string").alias("output"))
     answers = hits.filter("output is not null").select("request_hash", "output", F.lit(True).alias("cached")).unionByName(fresh.withColumn("cached", F.lit(False)))
     return answers, fresh.filter("output is not null")
 

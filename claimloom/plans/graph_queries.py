@@ -93,17 +93,13 @@ def family_same_topic_unrelated(spark: SparkSession, d: str) -> DataFrame:
 @CORE.query("family_temporal_distractors")
 def family_temporal_distractors(spark: SparkSession, d: str) -> DataFrame:
     """The pool of pairs of a claim family and one first seen later."""
-    f = _families(spark, d)
-    l, r = f.select(F.col("family_id").alias("source"), F.col("first_seen").alias("at")), f.select(F.col("family_id").alias("later"), F.col("first_seen").alias("later_at"))
-    return similarity.first_pairs(l, r, F.col("later_at") > F.col("at"), "source", "later").select("source", "later")
+    return similarity.later_pairs(_families(spark, d).withColumnRenamed("family_id", "source"), "source", "first_seen", "later")
 
 
 @CORE.query("temporal_distractors", "SELECT l.item_id AS source, r.item_id AS later FROM eval_items l JOIN eval_items r ON r.released_at > l.released_at ORDER BY 1, 2 LIMIT 200")
 def temporal_distractors(spark: SparkSession, d: str) -> DataFrame:
     """The pool of pairs of an item and one released later."""
-    i = _items(spark, d)
-    l, r = i.select(F.col("family_id").alias("source"), F.col("released_at").alias("at")), i.select(F.col("family_id").alias("later"), F.col("released_at").alias("later_at"))
-    return similarity.first_pairs(l, r, F.col("later_at") > F.col("at"), "source", "later").select("source", "later")
+    return similarity.later_pairs(_items(spark, d).withColumnRenamed("family_id", "source"), "source", "released_at", "later")
 
 
 @CORE.query("provenance_distractors", """WITH c AS (SELECT DISTINCT ids.capsule_id AS id, list_transform(coalesce(provenance_sources, []), lambda x: x.source_id) AS s FROM capsules)
@@ -111,8 +107,7 @@ SELECT l.id AS source, r.id AS distractor FROM c l JOIN c r ON l.id <> r.id AND
 def provenance_distractors(spark: SparkSession, d: str) -> DataFrame:
     """The pool of pairs of capsules without a source in common."""
     c = table(spark, d, "capsules").select("ids.capsule_id", F.coalesce("provenance_sources.source_id", F.array().cast("array<string>")).alias("s")).distinct()
-    l, r = c.toDF("source", "ls"), c.toDF("distractor", "rs")
-    return similarity.first_pairs(l, r, (F.col("source") != F.col("distractor")) & ~F.coalesce(F.arrays_overlap("ls", "rs"), F.lit(False)), "source", "distractor").select("source", "distractor")
+    return similarity.disjoint_pairs(c.withColumnRenamed("capsule_id", "source"), "source", "s", "distractor")
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:

@@ -7,11 +7,14 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import STOPWORDS
 from claimloom.operators import graphs, ordering, similarity, vectors
-from claimloom.operators.chunking import chunk_documents, chunks_of
+from claimloom.operators.chunking import chunk_documents, chunks_of, packing, section_table
 from claimloom.operators.providers import merge_outputs, replay_or_run
 from claimloom.operators.references import orphan_references, pack_bits, unpack_bits
 from claimloom.operators.skew import hot_keys, hot_of_counts, hot_values, lookup_join, spread_join
@@ -140,8 +143,21 @@ def test_jaccard_pairs_lose_nothing(spark, rows):
 def test_first_pairs_goes_on(spark, rows):
     left = spark.range(30).toDF("l")
     right = spark.range(30).toDF("r")
-    got = similarity.first_pairs(left, right, (F.col("l") > 25) & (F.col("r") > F.col("l")), "l", "r", most=3)
-    assert rows(got, "l", "r") == [(26, 27), (26, 28), (26, 29)]
+    pairs = lambda block: right.join(F.broadcast(block), (F.col("l") > 25) & (F.col("r") > F.col("l")))
+    assert rows(similarity.first_pairs(left, pairs, "l", "r", most=3), "l", "r") == [(26, 27), (26, 28), (26, 29)]
+    assert rows(similarity.first_pairs(left, pairs, "l", "r", most=100), "l", "r") == [(a, b) for a in range(26, 30) for b in range(a + 1, 30)]
+    assert similarity.first_pairs(left.filter("false"), pairs, "l", "r", most=3).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 200])
+def test_pools_without_a_key(spark, rows, most):
+    rng = random.Random(most)
+    data = [(f"i{i:02d}", rng.choice([None, 1, 2, 3]), rng.choice([None, [], ["a"], ["a", "b"], ["c", None], ["b"]])) for i in range(20)]
+    df = spark.createDataFrame(data, "k string, at int, s array<string>")
+    want = sorted((a, b) for a, x, _ in data for b, y, _ in data if x and y and y > x)[:most]
+    assert rows(similarity.later_pairs(df, "k", "at", "o", most)) == want
+    want = sorted((a, b) for a, _, x in data for b, _, y in data if a != b and not ({*(x or ())} & {*(y or ())} - {None}))[:most]
+    assert rows(similarity.disjoint_pairs(df, "k", "s", "o", most)) == want
 
 
 def test_graphs(spark, rows):
@@ -169,6 +185,21 @@ def test_chunks(spark):
     assert chunk_documents(df.filter("false")).count() == 0
 
 
+def test_section_table():
+    assert section_table([1, 3, 3, 2, 1, 2], list("ABCDEF")) == [[], ["A"], ["A", "B"], ["A", "B", "C"], ["A", "D"], ["E"], ["E", "F"]]
+
+
+@pytest.mark.parametrize("most", [10, 37])
+def test_packing(most):
+    rng = random.Random(most)
+    for _ in range(200):
+        sizes = np.array([rng.randint(1, 2 * most) for _ in range(rng.randint(0, 9))], np.int64)
+        got = packing(sizes, most)
+        assert [k for a, b in got for k in range(a, b)] == list(range(len(sizes)))
+        fits = lambda a, b: sizes[a:b].sum() + b - a - 1 <= most
+        assert all(b == a + 1 or fits(a, b) for a, b in got) and all(not fits(a, c) for (a, b), c in zip(got, [y[0] + 1 for y in got[1:]]))
+
+
 def test_vectors(spark):
     rng = random.Random(0)
     data = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(50)] + [(90, None), (91, [0.0] * 4)]
@@ -182,6 +213,8 @@ def test_vectors(spark):
     for q in range(3):
         best = sorted((-cos(data[q][1], v), i) for i, v in data[:50] if i != q)[:3]
         assert [got[q, k + 1] for k in range(3)] == [i for _, i in best]
+    again = {(r["query"], r["rank"]): r["neighbour"] for r in vectors.nearest(df, df.filter("id < 3"), "id", "v", 3, at_once=1).collect()}
+    assert again == got
     assert vectors.nearest(df, df.filter("false"), "id", "v", 3).count() == 0
 
 
@@ -193,6 +226,14 @@ def test_providers(spark, rows):
     cache = spark.createDataFrame([("a", "old")], "request_hash string, output string")
     answers, fresh = replay_or_run(req, cache, lambda s: s.str.upper())
     assert rows(answers) == [("a", "old", True), ("b", "IN B", False)] and rows(fresh) == [("b", "IN B")]
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        calls.add(len(texts))
+        return texts.str.upper()
+
+    answers, fresh = replay_or_run(req, cache.filter("false"), counted)
+    assert answers.count() == fresh.count() == 2 and rows(fresh) == [("a", "IN A"), ("b", "IN B")] and calls.value == 2
     answers, fresh = replay_or_run(req, cache, lambda s: s.str.upper(), "cache_only")
     assert rows(answers, "request_hash", "output") == [("a", "old"), ("b", None)] and fresh.count() == 0
 
