@@ -83,6 +83,25 @@ def relation_integrity(relations: DataFrame) -> DataFrame:
     return union_all([findings(r.filter(F.col(f).isNull()), "relation_integrity", sev, f"relation without {f}", "relation_id", F.lit(f)) for f, sev in (("source_claim", "error"), ("target_claim", "error"), ("relation_type", "warning"))])
 
 
+def capsule_relation_integrity(capsules: DataFrame) -> DataFrame:
+    """Relations inside capsules without a target (warning) or a type (warning)."""
+    r = capsules.select(F.col("ids.capsule_id").alias("id"), F.posexplode("relations").alias("k", "r"))
+    at = lambda f: F.concat(F.lit("relations["), F.col("k"), F.lit(f"].{f}"))
+    return union_all([findings(r.filter(F.col(f"r.{f}").isNull()), "relation_integrity", "warning", f"relation without {f}", "id", at(f)) for f in ("target_family", "relation_type")])
+
+
+class AuditError(ValueError):
+    """An audit found errors."""
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """The findings, or an AuditError that names the first error among them."""
+    worst = found.filter("severity = 'error'").orderBy("audit", "record_id", "path").limit(1).collect()
+    if worst:
+        raise AuditError(f"{worst[0]['audit']}: {worst[0]['message']} ({worst[0]['record_id']})")
+    return found
+
+
 def severity_counts(found: DataFrame) -> DataFrame:
     """One row: errors, warnings and infos, zero where there are none."""
     return found.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warning", "info")])
@@ -125,7 +144,7 @@ def record_issue(fmt: Column, version: Column, forbidden: Column, complete: Colu
     return F.when(forbidden, "forbidden_key").when(~F.coalesce(fmt, F.lit("")).isin(*FORMATS), "format").when(~F.coalesce(version, F.lit("")).isin(*FORMAT_VERSIONS), "version").when(~complete, "schema")
 
 
-def target_exposure(texts: DataFrame, record_id: str, text: str) -> DataFrame:
+def target_exposure(texts: DataFrame, record_id: str, text: str, markers: tuple[str, ...] = TARGET_MARKERS) -> DataFrame:
     """Findings for target markers in texts, one for each marker and text."""
-    hits = F.filter(F.array(*[F.lit(m) for m in TARGET_MARKERS]), lambda m: F.contains(F.lower(F.col(text)), m))
+    hits = F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(F.lower(F.col(text)), m))
     return findings(texts.select(record_id, F.explode(hits).alias("m")), "future_target_exposure", "error", "text shows a target marker", F.col(record_id).cast("string"), F.lit(text), "m")

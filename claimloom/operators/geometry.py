@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OUT = "holonomy_norm double, trace_normalized double, spectrum_abs_mean double, spectrum_abs_max double"
@@ -43,3 +43,9 @@ def composed(path: Column | str, n: int) -> Column:
         return F.array(*[sum((a[i * n + k] * b[k * n + j] for k in range(1, n)), a[i * n] * b[j]) for i in range(n) for j in range(n)])
 
     return F.aggregate(path, ident, times)
+
+
+def path_spread(transports: DataFrame, key: str, matrix: str) -> DataFrame:
+    """key, spread: the mean over all entries of the variance of a key's transports; 0 where they are all alike. Null transports count for nothing."""
+    entries = transports.select(key, F.posexplode(matrix).alias("_i", "_x")).groupBy(key, "_i").agg(F.var_pop(F.col("_x").cast("double")).alias("_v"))
+    return entries.groupBy(key).agg(F.avg("_v").alias("spread"))

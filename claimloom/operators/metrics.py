@@ -96,3 +96,60 @@ def control_effects(scores: DataFrame) -> DataFrame:
     """One row of the effects from scores(arm_id, structured_epistemic_score), one row an arm; a missing arm or score counts as 0."""
     of = lambda arm: F.coalesce(F.max(F.when(F.col("arm_id") == arm, F.col("structured_epistemic_score"))), F.lit(0.0))
     return scores.agg(*[(of(GEOMETRY_ARM) - of(arm)).alias(name) for name, arm in CONTROL_EFFECTS.items()])
+
+
+# What each score is read from, by its name in the exported metrics; a metric that is missing counts as 0.
+SCORES = {
+    "relation_type_accuracy": "relation_prediction_relation_accuracy", "relation_macro_f1": "relation_prediction_relation_macro_f1", "relation_micro_f1": "relation_prediction_relation_micro_f1",
+    "support_contradiction_f1": "relation_prediction_relation_macro_f1", "hard_negative_accuracy": "relation_prediction_hard_negative_accuracy", "relation_target_recall_at_k": "relation_prediction_relation_accuracy",
+    "source_recall_at_1": "provenance_recovery_source_recall_at_1", "source_recall_at_k": "provenance_recovery_source_recall_at_k", "span_recall_at_k": "provenance_recovery_span_recovery_recall", "provenance_mrr": "provenance_recovery_mean_reciprocal_rank",
+    "uncertainty_brier": "uncertainty_calibration_uncertainty_brier", "expected_calibration_error": "uncertainty_calibration_expected_calibration_error",
+    "temporal_holdout_loss": "loss_stability_temporal", "temporal_stability_prediction": "stability_temporal_stability_accuracy", "future_target_mask_violation_count": "stability_temporal_future_target_mask_violation_count",
+    "temporal_leakage_count": "stability_temporal_temporal_leakage_count", "text_cross_entropy": "text_projection_text_cross_entropy", "token_accuracy": "text_projection_token_accuracy",
+}
+
+
+def run_scores(metrics: DataFrame) -> DataFrame:
+    """One row of scores for each arm of metrics(arm_id, name, value), a row a metric.
+
+    Beside SCORES: the structured score (missing losses count as 1), geometry
+    evidence and transport consistency, the text score, and 1 or 0 for the
+    audit, by whether anything leaked. Nulls are missing; of several values of
+    a metric the largest counts.
+    """
+    wanted = sorted({*SCORES.values(), "loss_relation_prediction", "loss_provenance_recovery", "loss_epistemic_proxy", "geometry_auxiliary_geometry_observable_loss", "geometry_auxiliary_geometry_regularization", "text_projection_text_perplexity"})
+    wide = metrics.filter("arm_id is not null").groupBy("arm_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"_{i}") for i, n in enumerate(wanted)])
+    raw = {n: F.col(f"_{i}") for i, n in enumerate(wanted)}
+    get = lambda n: F.coalesce(raw[n], F.lit(0.0))
+    observed, regular = get("geometry_auxiliary_geometry_observable_loss"), get("geometry_auxiliary_geometry_regularization")
+    evidence = F.greatest(F.lit(0.0), 1.0 - observed - 0.01 * regular)
+    clean = (get(SCORES["temporal_leakage_count"]) == 0) & (get(SCORES["future_target_mask_violation_count"]) == 0)
+    return wide.select(
+        "arm_id", *[get(n).alias(s) for s, n in SCORES.items()],
+        structured_score(raw["loss_relation_prediction"], raw["loss_provenance_recovery"], raw["loss_epistemic_proxy"], get("stability_temporal_stability_accuracy")).alias("structured_epistemic_score"),
+        evidence.alias("geometry_evidence_score"), evidence.alias("geometry_observable_stability"), F.greatest(F.lit(0.0), 1.0 - regular).alias("transport_consistency_score"),
+        text_score(get(SCORES["token_accuracy"]), get(SCORES["text_cross_entropy"]), raw["text_projection_text_perplexity"]).alias("text_projection_score"), clean.cast("double").alias("audit_compliance_score"),
+    )
+
+
+# Differences that decide on a branch.
+LEAST_GAIN, KILLING_LOSS = 0.01, -0.20
+
+
+def delta_outcome(delta: Column, fair: Column, gain: float = LEAST_GAIN, loss: float = KILLING_LOSS) -> Column:
+    """What a controlled difference says of a branch; nothing unless the comparison was fair and the difference is known."""
+    said = F.when(delta <= loss, "kill_branch").when(delta >= gain, "proceed").when(delta > 0, "proceed_with_caution").when(delta > -gain, "inconclusive").otherwise("redesign")
+    return F.when(fair & delta.isNotNull(), said).otherwise("inconclusive")
+
+
+def best_scores(scores: DataFrame, columns: list[str], gain: float = LEAST_GAIN) -> DataFrame:
+    """score, best, present, viable: over all arms the best of each score, whether it is more than 0 and whether it is enough to go on; one row each, 0 without arms."""
+    best = scores.agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in columns])
+    rows = best.select(F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).alias("best")) for c in columns])).alias("x")).select("x.*")
+    return rows.select("score", "best", (F.col("best") > 0).alias("present"), (F.col("best") >= gain).alias("viable"))
+
+
+def cascade_counts(decisions: DataFrame, decision: str, escalated: Column) -> DataFrame:
+    """One row: outputs, how many were escalated, the rate (3 digits), and disagreements, where one provider's output was taken over the other's."""
+    n = F.count(F.lit(1))
+    return decisions.agg(n.alias("total"), F.count_if(escalated).alias("escalated"), F.round(F.coalesce(F.try_divide(F.count_if(escalated), n), F.lit(0.0)), 3).alias("escalation_rate"), F.count_if(F.startswith(F.col(decision), F.lit("selected_"))).alias("disagreements"))

@@ -77,3 +77,8 @@ def with_negatives(capsules: DataFrame, negatives: DataFrame) -> DataFrame:
 def disagreements(records: DataFrame, family: str, decision: str) -> DataFrame:
     """family, disagreement_count: how many of a family's task records took one provider's output over another's."""
     return records.groupBy(family).agg(F.count_if(F.coalesce(F.startswith(F.col(decision), F.lit("selected_")), F.lit(False))).alias("disagreement_count"))
+
+
+def resolved(relations: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """relations whose key exists in targets, with the target's columns; those that lead nowhere are dropped. targets has one row a key."""
+    return relations.join(targets, key)

@@ -16,28 +16,29 @@ def flat_text() -> Column:
     return F.trim(F.coalesce("claim.canonical_text", F.lit("")))
 
 
-def _titles() -> Column:
+def titles() -> Column:
+    """The titles of a capsule's sources that aren't empty."""
     return F.array_compact(F.transform(F.coalesce("provenance_sources", F.array().cast(_SOURCES)), lambda s: F.when(F.coalesce(s["title"], F.lit("")) != "", s["title"])))
 
 
 _SOURCES = "array<struct<source_id:string,title:string,source_date:timestamp,license:string,target_only:boolean>>"
 
 
-def _line(label: str, value: Column) -> Column:
+def line(label: str, value: Column) -> Column:
     """`label: value`, null for an empty value."""
     return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}: "), value))
 
 
-def _context_lines() -> list[Column]:
-    return [_line("Context", F.col("ids.context_id")), _line("Domains", F.array_join("context.domains", ", "))]
+def context_lines() -> list[Column]:
+    return [line("Context", F.col("ids.context_id")), line("Domains", F.array_join("context.domains", ", "))]
 
 
 def structured_text() -> Column:
-    return F.concat_ws("\n", _line("Claim", F.col("claim.canonical_text")), *_context_lines(), _line("Sources", F.array_join(_titles(), "; ")))
+    return F.concat_ws("\n", line("Claim", F.col("claim.canonical_text")), *context_lines(), line("Sources", F.array_join(titles(), "; ")))
 
 
 def capsule_text() -> Column:
-    return F.concat_ws("\n", _line("Claim", F.col("claim.canonical_text")), _line("Type", F.col("claim.claim_type")), _line("Sources", F.array_join(_titles(), "; ")), *_context_lines())
+    return F.concat_ws("\n", line("Claim", F.col("claim.canonical_text")), line("Type", F.col("claim.claim_type")), line("Sources", F.array_join(titles(), "; ")), *context_lines())
 
 
 def n_sources() -> Column:
@@ -56,9 +57,9 @@ def arms(capsules: DataFrame) -> DataFrame:
     """
     families = capsules.groupBy("ids.claim_family_id").agg(F.count(F.lit(1)).alias("_freq"))
     base = capsules.join(families, F.col("ids.claim_family_id").eqNullSafe(F.col("claim_family_id")), "left").drop("claim_family_id")
-    no_prov = F.concat_ws("\n", _line("Claim", F.col("claim.canonical_text")), *_context_lines())
-    no_ctx = F.concat_ws("\n", _line("Claim", F.col("claim.canonical_text")), _line("Sources", F.array_join(_titles(), "; ")))
-    popular = F.concat_ws("\n", _line("Claim", F.col("claim.canonical_text")), F.concat(F.lit("source_count_proxy: "), n_sources()), F.concat(F.lit("claim_family_frequency_proxy: "), F.col("_freq")))
+    no_prov = F.concat_ws("\n", line("Claim", F.col("claim.canonical_text")), *context_lines())
+    no_ctx = F.concat_ws("\n", line("Claim", F.col("claim.canonical_text")), line("Sources", F.array_join(titles(), "; ")))
+    popular = F.concat_ws("\n", line("Claim", F.col("claim.canonical_text")), F.concat(F.lit("source_count_proxy: "), n_sources()), F.concat(F.lit("claim_family_frequency_proxy: "), F.col("_freq")))
     texts = {"flat_text": flat_text(), "structured_text": structured_text(), "capsule_text": capsule_text(), "no_provenance": no_prov, "no_context": no_ctx, "popularity_control": popular}
     has_context = F.col("context").isNotNull()
     rows = F.array(*[

@@ -89,6 +89,66 @@ def ragged_sources(capsules: DataFrame) -> DataFrame:
     return with_position(sized, ["capsule_id"], "record_index", F.col("n"), "start_offset").select("capsule_id", "record_index", "refs", "n", "start_offset")
 
 
+def relation_group(capsules: DataFrame, vocab: DataFrame, families: DataFrame) -> DataFrame:
+    """Ragged group of capsules(ids, relations): for each capsule its relations' types, targets and confidences in order, and where they start.
+
+    vocab gives relation types their index (unknown ones UNKNOWN), families
+    (family, index) targets theirs; a target without one has -1, and so has a
+    confidence that is missing. mask says whether there are any.
+    """
+    rows = capsules.select(F.col("ids.capsule_id").alias("capsule_id"), F.posexplode_outer("relations").alias("_k", "_r"))
+    types = vocab.filter("category = 'relation_type'").select(F.col("value").alias("_type"), F.col("idx").alias("_t"))
+    coded = rows.select("capsule_id", "_k", F.col("_r.relation_type").alias("_type"), F.col("_r.target_family").alias("_target"), F.coalesce("_r.confidence", F.lit(-1.0)).alias("_c"))
+    coded = coded.join(types, "_type", "left").join(families.select(F.col("family").alias("_target"), F.col("index").alias("_i")), "_target", "left")
+    one = F.when(F.col("_k").isNotNull(), F.struct("_k", F.coalesce("_t", F.lit(UNKNOWN)).alias("t"), F.coalesce("_i", F.lit(-1)).alias("i"), F.col("_c").alias("c")))
+    own = coded.groupBy("capsule_id").agg(F.array_sort(F.collect_list(one)).alias("a"))  # of one capsule
+    of = lambda f: F.transform("a", lambda x: x[f])
+    sized = own.select("capsule_id", of("t").alias("relation_types"), of("i").alias("relation_targets"), of("c").alias("relation_confidences"), F.size("a").cast("bigint").alias("n"))
+    return with_position(sized, ["capsule_id"], "record_index", F.col("n"), "start_offset").withColumn("mask", (F.col("n") > 0).cast("int"))
+
+
+def relation_values(capsules: DataFrame) -> DataFrame:
+    """category, value of the capsules' relation types."""
+    return capsules.select(F.lit("relation_type").alias("category"), F.explode("relations.relation_type").alias("value"))
+
+
+def epistemic_group(proxies: DataFrame, methods: dict[str, Column], missing: float = -1.0) -> DataFrame:
+    """capsule_id and for each proxy its value, its confidence (missing, as proxies have none) and a reference to the basis it rests on.
+
+    proxies(capsule_id, one column for each of methods); a null value is missing
+    and has no basis. methods names each proxy's method.
+    """
+    columns = []
+    for name, method in methods.items():
+        columns += [F.coalesce(name, F.lit(missing)).alias(f"{name}_value"), F.lit(missing).alias(f"{name}_confidence"), F.when(F.col(name).isNotNull(), t.stable_int64(F.lit("proxy_basis"), method)).otherwise(F.lit(-1).cast("bigint")).alias(f"{name}_basis")]
+    return proxies.select("capsule_id", *columns)
+
+
+GEOMETRY_SLOTS = ("curvature_score", "holonomy_norm", "trace_summary", "spectrum_summary", "context_lability")
+
+
+def geometry_group(capsules: DataFrame, observables: Column | None = None, missing: float = -1.0) -> DataFrame:
+    """capsule_id, geometry_enabled and the GEOMETRY_SLOTS; without observables (a map) all slots are missing."""
+    slot = lambda n: F.lit(missing) if observables is None else F.coalesce(F.try_element_at(observables, F.lit(n)), F.lit(missing))
+    return capsules.select(F.col("ids.capsule_id").alias("capsule_id"), F.lit(0 if observables is None else 1).alias("geometry_enabled"), *[slot(n).alias(n) for n in GEOMETRY_SLOTS])
+
+
+def target_group(capsules: DataFrame, sources: DataFrame) -> DataFrame:
+    """Ragged targets of capsules: the dense indices of their sources(source_id, index) in order, -1 for those without, their number and offset, and the uncertainty target."""
+    rows = capsules.select(F.col("ids.capsule_id").alias("capsule_id"), "extraction_confidence", F.posexplode_outer("provenance_sources").alias("_k", "_s")).withColumn("source_id", F.col("_s.source_id"))
+    coded = rows.join(sources.select("source_id", F.col("index").alias("_i")), "source_id", "left")
+    one = F.when(F.col("_k").isNotNull(), F.struct("_k", F.coalesce("_i", F.lit(-1)).alias("i")))
+    own = coded.groupBy("capsule_id").agg(F.array_sort(F.collect_list(one)).alias("a"), F.max("extraction_confidence").alias("c"))  # of one capsule
+    sized = own.select("capsule_id", F.transform("a", lambda x: x["i"]).alias("provenance_target_ids"), F.size("a").cast("bigint").alias("n"), F.coalesce(1.0 - F.col("c"), F.lit(-1.0)).alias("uncertainty_target"))
+    return with_position(sized, ["capsule_id"], "record_index", F.col("n"), "start_offset")
+
+
+def metadata_group(capsules: DataFrame, record: Column, evaluation_references: int = 0, packaged: bool = False) -> DataFrame:
+    """capsule_id, record_index in the order of ids, source_format_idx, a reference to the record's canonical form, and the number of evaluation references."""
+    rows = capsules.select(F.col("ids.capsule_id").alias("capsule_id"), t.stable_int64(record).alias("input_record_hash"))
+    return with_position(rows, ["capsule_id"], "record_index").select("capsule_id", "record_index", F.lit(int(packaged)).alias("source_format_idx"), "input_record_hash", F.lit(evaluation_references).alias("evaluation_reference_count"))
+
+
 def fitted_tokens(texts: DataFrame, order: str, text: str, specials: tuple[str, ...] = SPECIAL) -> DataFrame:
     """token, idx of a white-space tokenizer: lower-cased tokens numbered as they are first met, after the special ones."""
     words = texts.select(F.col(order).alias("_o"), F.posexplode(F.filter(F.split(t.squeeze(F.lower(text)), " "), lambda w: w != "")).alias("_k", "token"))

@@ -10,6 +10,7 @@ from claimloom.operators import audits, render, tensors
 from claimloom.plans import fragments as sql
 from claimloom.registry import CORE
 from claimloom.session import table
+from claimloom.sources import packages
 
 
 
@@ -61,25 +62,42 @@ def audit_relations(spark: SparkSession, d: str) -> DataFrame:
     return audits.relation_integrity(table(spark, d, "extracted_relations")).select("record_id", "path", "severity")
 
 
-_REQUIRED = {"claim.canonical_text": "error", "claim.claim_type": "error", "claim.language": "warning", "claim.family_label": "warning", "temporal.valid_as_of": "error", "temporal.leakage_validation_status": "warning", "ids.claim_family_id": "error"}
+REQUIRED = {"claim.canonical_text": "error", "claim.claim_type": "error", "claim.language": "warning", "claim.family_label": "warning", "temporal.valid_as_of": "error", "temporal.leakage_validation_status": "warning", "ids.claim_family_id": "error"}
 
 
 @CORE.query(
     "audit_required_fields",
-    "WITH c AS (SELECT DISTINCT * FROM capsules)\n" + "\nUNION ALL ".join(f"SELECT ids.capsule_id AS record_id, '{p}' AS path, '{s}' AS severity FROM c WHERE trim(coalesce({p}::VARCHAR, '')) = ''" for p, s in _REQUIRED.items()),
+    "WITH c AS (SELECT DISTINCT * FROM capsules)\n" + "\nUNION ALL ".join(f"SELECT ids.capsule_id AS record_id, '{p}' AS path, '{s}' AS severity FROM c WHERE trim(coalesce({p}::VARCHAR, '')) = ''" for p, s in REQUIRED.items()),
 )
 def audit_required_fields(spark: SparkSession, d: str) -> DataFrame:
     """Null and blank required fields."""
-    return audits.required_fields(capsules_once(spark, d), _REQUIRED).select("record_id", "path", "severity")
+    return audits.required_fields(capsules_once(spark, d), REQUIRED).select("record_id", "path", "severity")
 
 
-@CORE.query("audit_forbidden_keys")
+_TREE = """WITH r AS (SELECT raw_id AS rid, any_value(payload) AS p FROM raw_claims GROUP BY 1), t AS (SELECT rid, j.fullkey AS k, j.key AS n FROM (SELECT rid, p::JSON AS p FROM r WHERE json_valid(p)) q, json_tree(q.p) AS j WHERE j.key IS NOT NULL AND j.fullkey NOT LIKE '%]')
+"""
+
+
+@CORE.query("audit_forbidden_keys", _TREE + f"SELECT 'forbidden_keys' AS audit, 'error' AS severity, 'forbidden key' AS message, rid AS record_id, k AS path, n AS value FROM t WHERE lower(n) IN ({sql.quoted(audits.VALIDATOR_FORBIDDEN_KEYS)})")
 def audit_forbidden_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of raw claims, at any depth, that no record may carry."""
     return audits.forbidden_keys(table(spark, d, "raw_claims").dropDuplicates(["raw_id"]), "raw_id", "payload")
 
 
-@CORE.query("raw_claim_keys")
+@CORE.query("audit_named_keys", _TREE + "SELECT n AS value, count(*) AS n FROM t WHERE lower(n) IN ('notes', 'start_char') GROUP BY 1")
+def audit_named_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The key audit with names that raw claims do carry, so that there is something to find."""
+    raw = table(spark, d, "raw_claims").dropDuplicates(["raw_id"])
+    return audits.forbidden_keys(raw, "raw_id", "payload", ("notes", "start_char")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@CORE.query("text_markers", "SELECT doc_id::VARCHAR AS record_id, m AS value FROM (SELECT doc_id, text, unnest(['truth labels', 'telescope']) AS m FROM documents) WHERE contains(lower(text), m)")
+def text_markers(spark: SparkSession, d: str) -> DataFrame:
+    """The marker audit with markers that documents do show."""
+    return audits.target_exposure(table(spark, d, "documents"), "doc_id", "text", ("truth labels", "telescope")).select("record_id", "value")
+
+
+@CORE.query("raw_claim_keys", _TREE + "SELECT regexp_replace(replace(k, '\"', ''), '\\[\\d+\\]', '[]', 'g') AS path, count(*) AS n FROM t GROUP BY 1")
 def raw_claim_keys(spark: SparkSession, d: str) -> DataFrame:
     """How often each key occurs in the raw claims, by its path without places in lists."""
     keys = audits.json_keys(table(spark, d, "raw_claims").dropDuplicates(["raw_id"]), "raw_id", "payload")
@@ -219,7 +237,7 @@ def encoded_items(spark: SparkSession, d: str) -> DataFrame:
     return e.select("item_id", F.array_join("ids", " ").alias("ids"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("n"))
 
 
-@CORE.query("encoded_items_whole")
+@CORE.query("encoded_items_whole", _WORDS + ", e AS (SELECT item_id, list(idx ORDER BY k) AS a FROM w JOIN v USING (token) GROUP BY item_id), m AS (SELECT greatest(128, max(len(a))) AS m FROM e) SELECT item_id, array_to_string(list_concat(a, list_transform(range(m - len(a)), lambda x: 0)), ' ') AS ids, len(a) AS n FROM e, m")
 def encoded_items_whole(spark: SparkSession, d: str) -> DataFrame:
     """Items as token ids without loss: 128 of them, the compile default, or as many as the longest item has."""
     items = table(spark, d, "eval_items")
@@ -228,11 +246,11 @@ def encoded_items_whole(spark: SparkSession, d: str) -> DataFrame:
     return e.select("item_id", F.array_join("ids", " ").alias("ids"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("n"))
 
 
-@CORE.query("distinct_sources", "SELECT s.source_id AS source_id, max((coalesce(s.title, ''), coalesce(s.license, ''))) AS last FROM (SELECT unnest(provenance_sources) AS s FROM capsules) WHERE s.source_id IS NOT NULL GROUP BY 1".replace("max((coalesce(s.title, ''), coalesce(s.license, ''))) AS last", "max(coalesce(s.title, '') || '|' || coalesce(s.license, '')) AS metadata"))
+@CORE.query("distinct_sources", "WITH e AS (SELECT id, unnest(p) AS s, unnest(range(len(p))) AS k FROM (SELECT DISTINCT ids.capsule_id AS id, provenance_sources AS p FROM capsules)) SELECT s.source_id AS source_id, arg_max(coalesce(s.title, '') || '|' || coalesce(s.license, ''), (id, k)) AS metadata FROM e WHERE s.source_id IS NOT NULL GROUP BY 1")
 def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
-    """One metadata row for each source of the capsules, the last in order."""
-    s = table(spark, d, "capsules").select(F.explode("provenance_sources").alias("s")).filter("s.source_id is not null")
-    return s.groupBy("s.source_id").agg(F.max(F.concat_ws("|", F.coalesce("s.title", F.lit("")), F.coalesce("s.license", F.lit("")))).alias("metadata"))
+    """One metadata row for each source of the capsules, the last in the order of capsules and places."""
+    s = packages.source_metadata(capsules_once(spark, d))
+    return s.select("source_id", F.concat_ws("|", F.coalesce("title", F.lit("")), F.coalesce("license", F.lit(""))).alias("metadata"))
 
 
 @CORE.query("license_counts", "SELECT coalesce(license, 'unknown') AS license, count(DISTINCT document_id) AS n FROM source_documents GROUP BY 1")

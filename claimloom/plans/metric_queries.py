@@ -114,8 +114,19 @@ SELECT provider_id, count(*) AS n, count(c.h) AS hits FROM h LEFT JOIN c USING (
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
     """Requests that provider_a's answers would serve."""
     r = table(spark, d, "raw_claims").select("raw_id", "provider_id", "payload").distinct().withColumn("h", providers.request_hash("payload"))
-    c = r.filter("provider_id = 'provider_a'").select("h").distinct().withColumn("hit", F.lit(1))
-    return r.join(c, "h", "left").groupBy("provider_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    r = r.withColumnRenamed("h", "request_hash")
+    cache = r.filter("provider_id = 'provider_a'").select("request_hash", F.col("raw_id").alias("output"))
+    answers, _ = providers.replay_or_run(r.withColumnRenamed("payload", "input"), cache, lambda texts: texts, "cache_only")
+    return r.join(answers.filter("cached").select("request_hash", F.lit(1).alias("hit")), "request_hash", "left").groupBy("provider_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+
+
+@CORE.query("answered_requests", """WITH r AS (SELECT DISTINCT raw_id, provider_id, payload FROM raw_claims), h AS (SELECT provider_id, payload, 'sha256:' || sha256(payload) AS h FROM r), c AS (SELECT DISTINCT h FROM h WHERE provider_id = 'provider_a')
+SELECT DISTINCT h AS request_hash, CASE WHEN h IN (SELECT h FROM c) THEN 'known' ELSE upper(substr(payload, 1, 20)) END AS output, h IN (SELECT h FROM c) AS cached FROM h""")
+def answered_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Every payload answered, from provider_a's answers or by a provider that is run."""
+    r = table(spark, d, "raw_claims").select("raw_id", "provider_id", "payload").distinct().select("provider_id", F.col("payload").alias("input"), providers.request_hash("payload").alias("request_hash"))
+    cache = r.filter("provider_id = 'provider_a'").select("request_hash", F.lit("known").alias("output"))
+    return providers.replay_or_run(r, cache, lambda texts: texts.str.slice(0, 20).str.upper())[0]
 
 
 @CORE.query("epistemic_proxies", """WITH c AS (SELECT DISTINCT ids.capsule_id AS capsule_id, coalesce(len(provenance_sources), 0)::DOUBLE AS s, coalesce(len(context.communities), 0)::DOUBLE AS r FROM capsules)
@@ -127,13 +138,15 @@ def epistemic_proxies(spark: SparkSession, d: str) -> DataFrame:
     return c.select("ids.capsule_id", *[p[k].alias(k) for k in ("evidential_anchoring", "uncertainty", "transformation_pressure")])
 
 
-@CORE.query("quality_tiers", """WITH c AS (SELECT DISTINCT ids.capsule_id AS capsule_id, extraction_confidence AS conf, CASE WHEN coalesce(len(provenance_sources), 0) = 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(len(context.domains), 0) = 0 THEN 1 ELSE 0 END AS w FROM capsules)
-SELECT CASE WHEN w > 1 OR conf < 0.2 THEN 'quarantine' WHEN conf >= 0.72 THEN 'silver' ELSE 'bronze' END AS quality_tier, count(*) AS n FROM c GROUP BY 1""")
+@CORE.query("quality_tiers", """WITH l AS (SELECT capsule_id, count(DISTINCT split_name) - 1 AS g, bool_or(split_name = 'temporal_holdout') AS v FROM split_members GROUP BY 1), c AS (SELECT DISTINCT ids.capsule_id AS capsule_id, extraction_confidence AS conf, CASE WHEN coalesce(len(provenance_sources), 0) = 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(len(context.domains), 0) = 0 THEN 1 ELSE 0 END AS w FROM capsules)
+SELECT CASE WHEN coalesce(v, false) THEN 'gold' WHEN w > 1 OR conf < 0.2 THEN 'quarantine' WHEN conf >= 0.72 AND coalesce(g, 0) = 0 THEN 'silver' ELSE 'bronze' END AS quality_tier, count(*) AS n FROM c LEFT JOIN l USING (capsule_id) GROUP BY 1""")
 def quality_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Capsules by quality tier."""
-    c = table(spark, d, "capsules").dropDuplicates()
+    """Capsules by quality tier; those of the temporal holdout count as reviewed, those in several lists as disputed."""
+    c = table(spark, d, "capsules").dropDuplicates().withColumn("capsule_id", F.col("ids.capsule_id"))
+    lists = table(spark, d, "split_members").groupBy("capsule_id").agg((F.count_distinct("split_name") - 1).alias("g"), F.bool_or(F.col("split_name") == "temporal_holdout").alias("v"))
     w = (F.coalesce(F.size("provenance_sources"), F.lit(0)) <= 0).cast("int") + (F.coalesce(F.size("context.domains"), F.lit(0)) <= 0).cast("int")
-    return c.groupBy(providers.quality_tier(F.col("extraction_confidence"), w, F.lit(0), F.lit(False)).alias("quality_tier")).agg(F.count(F.lit(1)).alias("n"))
+    tier = providers.quality_tier(F.col("extraction_confidence"), w, F.coalesce("g", F.lit(0)), F.coalesce("v", F.lit(False)))
+    return c.join(lists, "capsule_id", "left").groupBy(tier.alias("quality_tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @CORE.query("learning_rate", "SELECT i AS step, round(CASE WHEN i < 100 THEN i / 100 ELSE greatest(0.0, (1000 - i) / 900) END, 6) AS factor FROM range(1000) r(i)")

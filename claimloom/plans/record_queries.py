@@ -13,6 +13,7 @@ from claimloom.plans import fragments as sql
 from claimloom.plans.capsule_queries import capsules_once
 from claimloom.registry import CORE
 from claimloom.session import table
+from claimloom.sources import files, packages
 
 
 @CORE.query("text_aliases", """WITH a AS (SELECT trim(claim.canonical_text) AS k, max(ids.claim_family_id) AS family FROM capsules WHERE claim.canonical_text IS NOT NULL GROUP BY 1)
@@ -27,7 +28,8 @@ def text_aliases(spark: SparkSession, d: str) -> DataFrame:
 def resolved_relations(spark: SparkSession, d: str) -> DataFrame:
     """Relations whose target exists, with its document; others are dropped."""
     c = table(spark, d, "extracted_claims").groupBy("claim_id").agg(F.min("document_id").alias("target_document"))
-    return table(spark, d, "extracted_relations").select("relation_id", "source_claim", F.col("target_claim").alias("claim_id")).distinct().join(c, "claim_id").withColumnRenamed("claim_id", "target_claim")
+    r = table(spark, d, "extracted_relations").select("relation_id", "source_claim", "target_claim").distinct()
+    return records.resolved(r, c.withColumnRenamed("claim_id", "target_claim"), "target_claim")
 
 
 @CORE.query("dense_relation_targets", """WITH i AS (SELECT claim_id, row_number() OVER (ORDER BY f, claim_id) - 1 AS index FROM (SELECT claim_id, min(ingested_at) AS f FROM extracted_claims GROUP BY 1))
@@ -92,15 +94,24 @@ def negative_types(spark: SparkSession, d: str) -> DataFrame:
 @CORE.query("loop_observables", """WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT vec_id, unnest(e) AS v, unnest(range(64)) AS i FROM m)
 SELECT vec_id, round(sqrt(sum(pow(v - CASE WHEN i % 9 = 0 THEN 1 ELSE 0 END, 2))), 5) AS holonomy_norm, round(sum(CASE WHEN i % 9 = 0 THEN v ELSE 0 END) / 8, 5) AS trace_normalized FROM x GROUP BY vec_id""")
 def loop_observables(spark: SparkSession, d: str) -> DataFrame:
-    """Observables of vectors read as 8 x 8 transports."""
+    """Norm and trace of vectors read as 8 x 8 transports."""
     o = table(spark, d, "embeddings").select("vec_id", geometry.loop_observables("embedding").alias("o"))
     return o.select("vec_id", F.round("o.holonomy_norm", 5).alias("holonomy_norm"), F.round("o.trace_normalized", 5).alias("trace_normalized"))
 
 
-@CORE.query("path_consistency", "SELECT event_type, round(var_pop(value), 4) AS spread FROM events GROUP BY 1")
+@CORE.query("loop_spectra", """WITH m AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings), t AS (SELECT vec_id, (a + d) / 2 AS h, (a + d) * (a + d) / 4 - (a * d - b * c) AS q, a * d - b * c AS det FROM m),
+e AS (SELECT vec_id, CASE WHEN q >= 0 THEN abs(h + sqrt(abs(q))) ELSE sqrt(det) END AS x, CASE WHEN q >= 0 THEN abs(h - sqrt(abs(q))) ELSE sqrt(det) END AS y FROM t) SELECT vec_id, round((x + y) / 2, 5) AS spectrum_abs_mean, round(greatest(x, y), 5) AS spectrum_abs_max FROM e""")
+def loop_spectra(spark: SparkSession, d: str) -> DataFrame:
+    """Absolute eigenvalues of 2 x 2 transports, for which SQL has a formula."""
+    o = table(spark, d, "embeddings").select("vec_id", geometry.loop_observables(F.slice("embedding", 1, 4)).alias("o"))
+    return o.select("vec_id", F.round("o.spectrum_abs_mean", 5).alias("spectrum_abs_mean"), F.round("o.spectrum_abs_max", 5).alias("spectrum_abs_max"))
+
+
+@CORE.query("path_consistency", """WITH m AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT label, vec_id, unnest(e) AS v, unnest(range(len(e))) AS i FROM m)
+SELECT label, round(sum(v) / max(n), 5) AS spread FROM (SELECT label, i, var_pop(v) AS v FROM x GROUP BY ALL) JOIN (SELECT label, max(len(e)) AS n FROM m GROUP BY 1) USING (label) GROUP BY label""")
 def path_consistency(spark: SparkSession, d: str) -> DataFrame:
-    """Mean squared distance from the mean."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.var_pop("value"), 4).alias("spread"))
+    """How far the transports of one label are from their mean, per entry."""
+    return geometry.path_spread(table(spark, d, "embeddings"), "label", "embedding").withColumn("spread", F.round("spread", 5))
 
 
 @CORE.query("permuted_edges", """WITH e AS (SELECT relation_id, min(source_claim) AS src, min(target_claim) AS dst FROM extracted_relations WHERE target_claim IS NOT NULL GROUP BY 1), s AS (SELECT *, row_number() OVER (ORDER BY relation_id) - 1 AS slot FROM e),
@@ -115,7 +126,7 @@ def permuted_edges(spark: SparkSession, d: str) -> DataFrame:
 def recent_outputs(spark: SparkSession, d: str) -> DataFrame:
     """The thirty newest raw claims."""
     r = table(spark, d, "raw_claims").select("raw_id", "provider_id", F.col("received_at").cast("timestamp_ntz").alias("received_at")).distinct()
-    return r.orderBy(F.desc("received_at"), "raw_id").limit(30)
+    return files.tail(r, "received_at", 30, "raw_id")
 
 
 @CORE.query("missing_targets", """WITH c AS (SELECT DISTINCT * FROM capsules) SELECT target, count(*) AS n FROM (SELECT unnest(['provenance', 'domains', 'communities', 'confidence', 'family_label']) AS target, unnest([coalesce(len(provenance_sources), 0) = 0, coalesce(len(context.domains), 0) = 0, coalesce(len(context.communities), 0) = 0, extraction_confidence IS NULL, claim.family_label IS NULL]) AS gone FROM c) WHERE gone GROUP BY 1""")
@@ -134,21 +145,20 @@ def vote_distribution(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_claims").select("claim_id", c.alias("selected"), F.greatest(F.lit(0.0), F.round(1 - c, 6)).alias("abstain")).distinct()
 
 
-@CORE.query("list_changes", """WITH a AS (SELECT DISTINCT capsule_id FROM split_members WHERE split_name = 'validation'), b AS (SELECT DISTINCT capsule_id FROM split_members WHERE split_name = 'test')
-SELECT coalesce(a.capsule_id, b.capsule_id) AS capsule_id, CASE WHEN a.capsule_id IS NULL THEN 'added' WHEN b.capsule_id IS NULL THEN 'removed' ELSE 'both' END AS change FROM a FULL JOIN b USING (capsule_id)""")
+@CORE.query("list_changes", """WITH m AS (SELECT capsule_id, split_name, max(listed_at) AS ts FROM split_members WHERE split_name IN ('validation', 'test') GROUP BY ALL), a AS (SELECT capsule_id, strftime(ts, '%Y') AS h FROM m WHERE split_name = 'validation'), b AS (SELECT capsule_id, strftime(ts, '%Y') AS h FROM m WHERE split_name = 'test')
+SELECT coalesce(a.capsule_id, b.capsule_id) AS file, CASE WHEN a.capsule_id IS NULL THEN 'added' WHEN b.capsule_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (capsule_id) WHERE a.h IS DISTINCT FROM b.h""")
 def list_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Two lists held against each other."""
-    m = table(spark, d, "split_members")
-    a, b = [m.filter(F.col("split_name") == s).select("capsule_id").distinct().withColumn(s, F.lit(True)) for s in ("validation", "test")]
-    return a.join(b, "capsule_id", "full").select("capsule_id", F.when(F.col("validation").isNull(), "added").when(F.col("test").isNull(), "removed").otherwise("both").alias("change"))
+    """Two lists held against each other as hash tables are: an id added, removed or listed in another year."""
+    m = table(spark, d, "split_members").groupBy("split_name", F.col("capsule_id").alias("file")).agg(F.date_format(F.max("listed_at"), "yyyy").alias("sha256"))
+    a, b = [m.filter(F.col("split_name") == s).select("file", "sha256") for s in ("validation", "test")]
+    return packages.compare_hashes(a, b)
 
 
-@CORE.query("file_roles", "SELECT document_id, CASE WHEN ends_with(lower(file_name), '.md') THEN 'text/markdown' WHEN ends_with(lower(file_name), '.txt') THEN 'text/plain' ELSE 'application/octet-stream' END AS media_type, sha256(text) AS sha256, length(text) AS n_chars FROM (SELECT DISTINCT document_id, file_name, text FROM source_documents)")
+@CORE.query("file_roles", "SELECT document_id, CASE suffix WHEN '.md' THEN 'text/markdown' WHEN '.txt' THEN 'text/plain' WHEN '.jsonl' THEN 'application/x-ndjson' WHEN '.pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS media_type, sha256(text) AS sha256, length(text) AS n_chars FROM (SELECT DISTINCT document_id, lower(regexp_extract(file_name, '(\\.[^.]*)$', 1)) AS suffix, text FROM source_documents)")
 def file_roles(spark: SparkSession, d: str) -> DataFrame:
     """Manifest rows of documents."""
-    s = table(spark, d, "source_documents").select("document_id", "file_name", "text").distinct()
-    kind = F.when(F.endswith(F.lower("file_name"), F.lit(".md")), "text/markdown").when(F.endswith(F.lower("file_name"), F.lit(".txt")), "text/plain").otherwise("application/octet-stream")
-    return s.select("document_id", kind.alias("media_type"), F.sha2("text", 256).alias("sha256"), F.length("text").alias("n_chars"))
+    s = table(spark, d, "source_documents").select("document_id", F.lower(F.regexp_extract("file_name", r"(\.[^.]*)$", 1)).alias("suffix"), "text").distinct()
+    return s.select("document_id", files.media_type("suffix").alias("media_type"), F.sha2("text", 256).alias("sha256"), F.length("text").alias("n_chars"))
 
 
 @CORE.query("capsule_adapter", f"""SELECT DISTINCT ids.capsule_id AS capsule_id, 'axc:sha256:' || sha256(coalesce(claim.canonical_text, '')) AS text_id, 'claimfam:' || coalesce(nullif(substr(array_to_string(regexp_extract_all({sql.fold('claim.canonical_text')}, '[a-z0-9]+'), '_'), 1, 48), ''), 'unknown') || ':' || {sql.digest('ids.claim_family_id', 'claim.canonical_text')} AS family_ref FROM capsules WHERE claim.canonical_text IS NOT NULL""")

@@ -68,6 +68,16 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop_fs(spark, path)
+    return fs.exists(p)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop_fs(spark, path)
+    fs.delete(p, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 

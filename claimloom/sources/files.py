@@ -52,10 +52,16 @@ def _document(rows: DataFrame) -> DataFrame:
         media_type("suffix").alias("media_type"), F.sha2("raw", 256).alias("raw_sha256"), text_hash.alias("normalized_text_sha256"), "text", F.length("text").alias("text_length"), "title",
         F.coalesce("meta.authors", F.array().cast("array<string>")).alias("authors"), midnight("meta.publication_date").alias("published_at"), F.coalesce("meta.license", F.lit("unknown")).alias("license"),
         F.col("meta.source_url").alias("source_url"), F.coalesce("meta.domain", F.array().cast("array<string>")).alias("domains"), midnight("meta.temporal_cutoff").alias("temporal_cutoff_at"),
-        F.lit(None).cast("int").alias("page_number"), "reader_name", F.lit(READER_VERSION).alias("reader_version"),
+        (F.col("page_number") if "page_number" in rows.columns else F.lit(None).cast("int")).alias("page_number"), "reader_name", F.lit(READER_VERSION).alias("reader_version"),
     )
 
 
+def document_rows(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """Document rows of rows(path, record_key, raw, text, title, reader_name, file_name, suffix, and page_number if any) with the metadata of the sidecar of their name, whose title goes before theirs."""
+    own = rows.withColumn("base", F.regexp_replace("path", r"\.[^./]*$", "")).join(meta, "base", "left")
+    return _document(own.withColumn("title", F.coalesce("meta.title", "title")))
+
+
 def _warning(rows: DataFrame, code: str, message: Column) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), message.alias("message"), "path")
 
@@ -131,6 +137,11 @@ def markdown_list(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(heading.alias("heading"), F.explode(F.regexp_extract_all("section", F.lit(r"(?m)^\s*- `([^`]*)`"), F.lit(1))).alias("value"))
 
 
-def tail(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The last n rows by order."""
-    return df.orderBy(F.desc(order)).limit(n)
+def tail(df: DataFrame, order: str, n: int, *ties: str) -> DataFrame:
+    """The last n rows by order, of equals the first by ties; kept from the first step on, so no task sorts the table."""
+    return df.orderBy(F.desc(order), *ties).limit(n)
+
+
+def first_files(documents: DataFrame, n: int, name: str = "file_name") -> DataFrame:
+    """The first n documents by file name, of equals the first by path."""
+    return documents.orderBy(name, "source_path").limit(n)

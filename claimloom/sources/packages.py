@@ -47,6 +47,12 @@ def content_hash(df: DataFrame, key: str) -> str:
     return row[0]
 
 
+def source_metadata(capsules: DataFrame) -> DataFrame:
+    """The distinct sources of the capsules by source_id, of more than one row the last in the order of capsules and places."""
+    s = capsules.select(F.col("ids.capsule_id").alias("_c"), F.posexplode("provenance_sources").alias("_k", "_s")).filter("_s.source_id is not null")
+    return s.groupBy("_s.source_id").agg(F.max_by("_s", F.struct("_c", "_k")).alias("_s")).select("_s.*")
+
+
 def write_package(capsules: DataFrame, splits: DataFrame, path: str, relations: DataFrame | None = None) -> dict:
     """A package: data/capsules, data/sources, data/relations, splits, manifests, and a hash of every file.
 
@@ -56,8 +62,7 @@ def write_package(capsules: DataFrame, splits: DataFrame, path: str, relations:
     """
     spark = capsules.sparkSession
     write_stream(capsules, f"{path}/data/capsules")
-    s = capsules.select(F.explode("provenance_sources").alias("s")).filter("s.source_id is not null")
-    sources = s.groupBy("s.source_id").agg(F.max("s").alias("s")).select("s.*")
+    sources = source_metadata(capsules)
     write_stream(sources, f"{path}/data/sources", "source_id")
     if relations is not None:
         write_stream(relations, f"{path}/data/relations", "relation_id")
