@@ -43,7 +43,9 @@ def temporal_leakage(capsules: DataFrame) -> DataFrame:
 
 
 def required_fields(capsules: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """fields: column path and severity; one finding for each null or blank one."""
+    """fields: column path and severity; one finding for each null or blank one, none without fields."""
+    if not fields:
+        return findings(capsules.limit(0), "required_fields", "error", "missing", "ids.capsule_id", F.lit(""))
     checks = F.array(*[F.when(F.coalesce(F.trim(F.col(p).cast("string")), F.lit("")) == "", F.struct(F.lit(p).alias("p"), F.lit(s).alias("s"))) for p, s in fields.items()])
     bad = capsules.select(F.col("ids.capsule_id").alias("id"), F.explode(F.array_compact(checks)).alias("x"))
     return bad.select(F.lit("required_fields").alias("audit"), F.col("x.s").alias("severity"), F.lit("missing").alias("message"), F.col("id").alias("record_id"), F.col("x.p").alias("path"), F.lit(None).cast("string").alias("value"))

@@ -7,8 +7,8 @@ and only the surviving bits are decoded back to keys and rows.
 Scale: the dictionary and the bitmaps come from aggregations combined before
 their shuffles; a hot key counts once per table and period, however many rows
 refer to it. A group of the bitmap step holds one range of 32,768 keys, so its
-size does not grow with the data. Rows are joined only to surviving keys, and
-AQE splits a key that holds many of them.
+size does not grow with the data. Rows are joined only to surviving keys; those
+of a hot key join a broadcast of its one row.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators.skew import hot_keys, lookup_join_on
 from claimloom.session import scratch
 
 _RANGE_BITS = 15  # 32,768 keys a range: one bitmap of 4 KB
@@ -152,8 +153,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame, withdrawn: DataFrame)
         .when(F.col("w_at") <= F.col("at"), "deleted")
         .when(F.col("p_at") > F.col("at"), "late")
     )
+    on = ["ref_table", "kind", "key", "period"]
+    hot = scratch(hot_keys(first, on), "hot")
     return (
-        first.join(decoded, ["ref_table", "kind", "key", "period"])
+        lookup_join_on(first, scratch(decoded, "suspects"), on, hot)
         .withColumn("fault", fault)
         .filter("fault is not null")
         .select("ref_table", "row_id", "key", "fault", "at")

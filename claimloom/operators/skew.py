@@ -60,6 +60,14 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str
     return few.unionByName(left.filter(~is_hot).join(right.hint("merge"), key, how))
 
 
+def lookup_join_on(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """lookup_join for a key of several columns without nulls. hot comes from hot_keys(left, keys), so it is of a bounded size; pass it written."""
+    few = F.broadcast(hot.select(*keys))  # at most 1 / share rows
+    marked = left.join(few.withColumn("_hot", F.lit(True)), keys, "left")
+    a = marked.filter("_hot").drop("_hot").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how)
+    return a.unionByName(marked.filter("_hot is null").drop("_hot").join(right.hint("merge"), keys, how))
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, salts: int = 16) -> DataFrame:
     """Inner join of two sides that may both repeat a key, with hot keys split over several tasks.
 

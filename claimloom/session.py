@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,9 +103,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _root(spark: SparkSession) -> str:
+    """The application's own folder below the shared one, named after it, so that one whose driver was killed can be told and removed."""
     key = spark.sparkContext.applicationId
     if key not in _roots:
-        _roots[key] = f"{shared_dir(spark)}/claimloom-{uuid.uuid4().hex}"
+        _roots[key] = f"{shared_dir(spark)}/claimloom-{key}-{uuid.uuid4().hex}"
         atexit.register(_drop_root, spark, _roots[key])
     return _roots[key]
 
@@ -116,6 +119,37 @@ def _drop_root(spark: SparkSession, root: str) -> None:
         pass  # the session has ended before; the folder goes with the checkpoint folder
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[Callable[..., DataFrame | None]]:
+    """A stretch of work whose scratch tables are deleted at its end, but for those it keeps.
+
+    Gives a function that keeps tables (for the scope around this one, if any)
+    and returns the first. A result that is read later must be a kept table, or
+    made of kept tables only.
+    """
+    mine: list[DataFrame] = []
+    kept: list[str] = []
+
+    def keep(*dfs: DataFrame) -> DataFrame | None:
+        kept.extend(p for p in (getattr(df, "_claimloom_path", None) for df in dfs) if p)
+        return dfs[0] if dfs else None
+
+    _scopes.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for df in mine:
+            if df._claimloom_path in kept:
+                if _scopes:
+                    _scopes[-1].append(df)
+            else:
+                release(df)
+
+
 def scratch(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -127,6 +161,8 @@ def scratch(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._claimloom_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
