@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.session import scratch
+from claimloom.session import scratch, scratch_scope
 
 ROUNDS = 3
 CONFIDENT = 0.5
@@ -58,11 +58,13 @@ _CAP = rf"[{_UP}]{_LETTERS}+(?:-(?:[a-z]{{1,3}}-)?[{_UP}]{_LETTERS}+)*(?![\w])"
 _AT = r"(?: ?[@＠] ?| ?(?:\[at\]|\(at\)|\{at\}) ?| AT )"
 _DOT = r"(?:\.| ?(?:\[dot\]|\(dot\)|\{dot\}) ?| DOT )"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-EMAIL = re.compile(rf"(?<![\w.+%-])(?P<local>[A-Za-z0-9][\w.+%-]*){_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![\w-])|(?<![\w.+%-])[A-Za-z0-9][\w.+%-]* at {_LABEL}(?: dot {_LABEL})* dot [A-Za-z]{{2,}}(?![\w-])")
+EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![\w-])")
+EMAIL_IN_WORDS = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]* at {_LABEL}(?: dot {_LABEL})* dot [A-Za-z]{{2,}}(?![\w-])")
+_SIGNED = re.compile(r"[@＠]|[\[({]at[\])}]| AT ")
 _SIGN = re.compile(rf"{_AT}| at ")
 _POINT = re.compile(r" ?(?:\[dot\]|\(dot\)|\{dot\}) ?| DOT | dot ")
-LABEL = re.compile(rf"(?<![^\W_])(?:{'|'.join(PHONE_LABELS + IDENTITY_LABELS)})(?![^\W_])", re.I)
-EMAIL_HINT = re.compile(r"[@＠]|[\[({ ][aA][tT][\])} ]")
+_LABELS = frozenset(PHONE_LABELS + IDENTITY_LABELS)
+_APART = str.maketrans(dict.fromkeys(".:#|(\t\n", " "))
 NUMBER = re.compile(
     r"(?<![\w@.+/,=&?#-])(?:"
     r"(?:\+|\(\+?)?\d+(?:(?:[ .-]|\) ?| ?/ ?| ?\()\d+)*(?:-[A-Z](?!\w))?(?: ?(?:ext|Ext|EXT|x)\.? ?\d+)?"
@@ -76,7 +78,7 @@ _INITIALS = rf"(?:[{_UP}]\.{_BLANK}?)+"
 NAME = re.compile(rf"(?<![\w’'-])(?=({_CAP})(,?){_BLANK}(?:({_INITIALS}))?({_CAP})|({_INITIALS})({_CAP}))")
 #: The initials may stand after the family name; the word after them, if any, may be the family name they belong to instead.
 NAME_BEFORE_INITIALS = re.compile(rf"(?<![\w’'-])(?=({_CAP}),?{_BLANK}({_INITIALS})({_CAP})?)")
-HAS_INITIAL = re.compile(rf"(?<![\w’'-])[{_UP}]\.")
+HAS_INITIAL = re.compile(rf"\.(?<=[{_UP}]\.)")
 _PLACE = rf"{_CAP}(?: {_CAP}){{0,2}}"
 ADDRESS = re.compile(
     rf"(?<![\w’'-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room) \d+[A-Z]?, )?"
@@ -139,21 +141,26 @@ def street_type(m: re.Match) -> str:
     return next((e for e in STREET_ENDINGS if word.endswith(e)), "-" + word[-4:])
 
 
+def emails_in(text: str) -> list[re.Pattern]:
+    """The patterns of e-mail addresses that a text can have a match of at all."""
+    return [EMAIL] * bool(_SIGNED.search(text)) + [EMAIL_IN_WORDS] * (" at " in text and " dot " in text)
+
+
 def candidates(doc_id: int, text: str) -> Iterator[tuple]:
     """All candidates of a text, in the columns of _SCHEMA."""
     taken: list[tuple[int, int]] = []
-    if EMAIL_HINT.search(text):
-        for m in EMAIL.finditer(text):
-            taken.append(m.span())
-            form, domain = written_as(m[0])
-            yield doc_id, "email", m.start(), m.end(), "", form, domain, "", "", "", "", None, False, False
-    labels = [m.start() for m in LABEL.finditer(text)]
+    for pattern in emails_in(text):
+        for m in pattern.finditer(text):
+            if not any(m.start() < y and x < m.end() for x, y in taken):
+                taken.append(m.span())
+                form, domain = written_as(m[0])
+                yield doc_id, "email", m.start(), m.end(), "", form, domain, "", "", "", "", None, False, False
     for m in NUMBER.finditer(text):
         a, b = m.span()
         if any(a < y and x < b for x, y in taken):
             continue
         few = b - a < _LEAST_DIGITS or sum(map(str.isdigit, m[0])) < _LEAST_DIGITS
-        if few and not any(x < a <= x + 40 for x in labels):
+        if few and _LABELS.isdisjoint(text[max(0, a - 24) : a].casefold().translate(_APART).split()):
             continue
         l1, l2, r1, r2, left = _sides(text, a, b)
         label = _label(left)
@@ -369,8 +376,14 @@ def find_personal(documents: DataFrame, known_names: DataFrame) -> DataFrame:
     doc_id are one document when their texts are the same. Other columns are
     ignored. Returns doc_id, pii_kind, start_char, end_char in code points from
     0, end exclusive, without overlaps: what starts first stays, the longer of
-    two that start together.
+    two that start together. The result is a written table; those made on the
+    way are deleted.
     """
+    with scratch_scope() as keep:
+        return keep(scratch(_found(documents, known_names), "personal"))
+
+
+def _found(documents: DataFrame, known_names: DataFrame) -> DataFrame:
     found = propose(documents)
     known = known_names.filter("name_part is not null and name_kind in ('given', 'family')").select(F.lower("name_part").alias("word"), F.col("name_kind").alias("role"))
     every = _emails(found).unionByName(_numbers(found)).unionByName(_addresses(found)).unionByName(_names(found, score_names(found, known)))
