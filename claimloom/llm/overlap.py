@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from claimloom.functions.words import words
 from claimloom.operators.skew import hot_keys, hot_of_counts, hot_values, lookup_join, spread_join
-from claimloom.session import scratch
+from claimloom.session import scratch, scratch_scope
 
 EDITS = 2
 WINDOW = 2
@@ -38,6 +38,7 @@ WINDOW = 2
 _KEY = 2
 #: Levels: chunks of 2 ** level words on average.
 LEVELS = 9
+_MASKS = np.array([(1 << b) - 1 for b in range(LEVELS)], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,14 +46,9 @@ def word_hashes(tokens: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), np.uint64, len(tokens))
 
 
-def chunk_ends(hashes: np.ndarray, mask_bits: int, window: int = WINDOW) -> np.ndarray:
-    """Ends (exclusive) of the chunks: a chunk ends after each word where the rolling hash of the last `window` words has mask_bits zero bits, and at the end.
-
-    With no mask bits every word ends a chunk; else a chunk has 2 ** mask_bits words on average.
-    """
+def cut_bits(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each word, the bits that the rolling hash of the last `window` words gives to decide on a cut after it."""
     n = len(hashes)
-    if n == 0:
-        return np.zeros(0, np.int64)
     rolling = np.zeros(n, np.uint64)
     power = np.uint64(1)
     with np.errstate(over="ignore"):
@@ -61,21 +57,45 @@ def chunk_ends(hashes: np.ndarray, mask_bits: int, window: int = WINDOW) -> np.n
             power = power * _BASE
         rolling ^= rolling >> np.uint64(29)
         rolling *= _BASE
-    cut = (rolling >> np.uint64(40)) & np.uint64((1 << mask_bits) - 1) == 0
+    return rolling >> np.uint64(40)
+
+
+def chunk_ends(hashes: np.ndarray, mask_bits: int, window: int = WINDOW) -> np.ndarray:
+    """Ends (exclusive) of the chunks: a chunk ends after each word where the rolling hash of the last `window` words has mask_bits zero bits, and at the end.
+
+    With no mask bits every word ends a chunk; else a chunk has 2 ** mask_bits words on average.
+    """
+    if len(hashes) == 0:
+        return np.zeros(0, np.int64)
+    cut = cut_bits(hashes, window) & np.uint64((1 << mask_bits) - 1) == 0
     cut[-1] = True
     return np.flatnonzero(cut) + 1
 
 
+def chunk_counts(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
+    """The number of chunks at each of the LEVELS."""
+    if len(hashes) == 0:
+        return [0] * LEVELS
+    bits = cut_bits(hashes, window)
+    cuts = (bits[:, None] & _MASKS) == 0
+    cuts[-1] = True
+    return cuts.sum(axis=0).tolist()
+
+
 def chunk_digests(hashes: np.ndarray, mask_bits: int, window: int = WINDOW) -> list[tuple[int, int]]:
     """(digest, words) of each chunk; a chunk that occurs again in the record gets another digest for each time, so that shared chunks count as often as both have them."""
-    out, seen, start = [], {}, 0
-    for end in chunk_ends(hashes, mask_bits, window).tolist():
-        plain = xxhash.xxh3_64_intdigest(hashes[start:end].tobytes(), mask_bits)
+    if mask_bits == 0:  # a word each, whose hash is its digest
+        chunks = [(h, 1) for h in hashes.tolist()]
+    else:
+        ends = chunk_ends(hashes, mask_bits, window).tolist()
+        chunks = [(xxhash.xxh3_64_intdigest(hashes[a:b].tobytes(), mask_bits), b - a) for a, b in zip([0, *ends], ends)]
+    if len({d for d, _ in chunks}) == len(chunks):
+        return [(d - (1 << 63), n) for d, n in chunks]
+    out, seen = [], {}
+    for plain, n in chunks:
         times = seen.get(plain, 0)
         seen[plain] = times + 1
-        digest = plain if times == 0 else xxhash.xxh3_64_intdigest(plain.to_bytes(8, "little"), times)
-        out.append((digest - (1 << 63), end - start))
-        start = end
+        out.append(((plain if times == 0 else xxhash.xxh3_64_intdigest(plain.to_bytes(8, "little"), times)) - (1 << 63), n))
     return out
 
 
@@ -93,11 +113,13 @@ def _at_most(a: list[str], b: list[str], most: int, i: int = 0, j: int = 0) -> b
 def levels_for(counts: list[int], edits: int = EDITS) -> list[int]:
     """The levels a record is cut at, from its number of chunks at each level.
 
-    Of a record and its partner take the highest level b at which the record has
-    need = 2 edits + 1 chunks and edits more to spare. There the partner has need
-    chunks, and one level higher fewer than need + 2 edits, and so has the record.
+    Longer chunks pay where those that `edits` edits can spoil, two each, are few
+    of them, so a level is taken from `need` chunks on, four times as many. Of a
+    record and its partner take the highest level b at which the record has
+    `edits` more than that. There the partner has need chunks, and one level
+    higher fewer than need + 2 edits, and so has the record.
     """
-    need = 2 * edits + 1
+    need = 8 * edits
     return [b for b in range(len(counts)) if (b == 0 or counts[b] >= need) and (b + 1 == len(counts) or counts[b + 1] < need + 2 * edits)]
 
 
@@ -112,8 +134,7 @@ def _cut(texts: DataFrame, edits: int) -> DataFrame:
             rows = []
             for tid, text, e, t in zip(pdf["text_id"], pdf["text"], pdf["e"], pdf["t"]):
                 h = word_hashes(text.split(" ") if text else [])
-                counts = [len(chunk_ends(h, b, 1)) for b in range(LEVELS)]
-                for b in levels_for(counts, edits):
+                for b in levels_for(chunk_counts(h, 1), edits):
                     c = chunk_digests(h, b, 1)
                     rows.append((tid, text, e, t, len(h), b, [d for d, _ in c], [n for _, n in c]))
             yield pd.DataFrame(rows, columns=["text_id", "text", "e", "t", "n_words", "bits", "digests", "sizes"]).astype({"n_words": "int32", "bits": "int32"})
@@ -279,8 +300,16 @@ def cross_split(records: DataFrame, members: DataFrame, train: str = "train", ed
     `train` is an evaluation split; null splits and ids and listed ids without
     a record are passed over. A null family or text is like no other; a text
     without words is like those of at most `edits` words. Repeated rows of an
-    id are one record, with all the families and texts they give.
+    id are one record, with all the families and texts they give. members and
+    links are written tables; those made on the way are deleted.
     """
+    with scratch_scope() as keep:
+        found = _cross_split(records, members, train, edits)
+        keep(found.members, found.links)
+    return found
+
+
+def _cross_split(records: DataFrame, members: DataFrame, train: str, edits: int) -> CrossSplit:
     listed = members.filter("split is not null and record_id is not null").select("split", "record_id").distinct()
     own = records.select("record_id", "family", _joined_words("text").alias("text")).join(listed.hint("merge"), "record_id").withColumn("is_eval", F.col("split") != train)
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("class")) for k, c in (("family", "family"), ("text", "text"), ("record", "record_id"))])
