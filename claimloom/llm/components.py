@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.operators.skew import hot_of_counts, hot_values, lookup_join
-from claimloom.session import release, scratch
+from claimloom.session import release, scratch, scratch_scope
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -117,7 +117,8 @@ HOOKS = {"random": _hash_hook, "jump": _least_hook}
 
 
 def group_ids(pairs: DataFrame) -> DataFrame:
-    """name and group_id, the smallest name of its group, by random contraction of the pairs' graph."""
-    groups = scratch(linked_groups(pairs, "random"), "groups")
-    least = scratch(groups.groupBy("root").agg(F.min("name").alias("group_id"), F.count(F.lit(1)).alias("n")), "least")
-    return lookup_join(groups, least.drop("n"), "root", hot_of_counts(least, "root"), "inner").select("group_id", "name")
+    """name and group_id, the smallest name of its group, by random contraction of the pairs' graph; written, and all tables on the way deleted."""
+    with scratch_scope() as keep:
+        groups = scratch(linked_groups(pairs, "random"), "groups")
+        least = scratch(groups.groupBy("root").agg(F.min("name").alias("group_id"), F.count(F.lit(1)).alias("n")), "least")
+        return keep(scratch(lookup_join(groups, least.drop("n"), "root", hot_of_counts(least, "root"), "inner").select("group_id", "name"), "group_ids"))

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimloom.operators.skew import hot_of_counts, lookup_join
-from claimloom.session import scratch
+from claimloom.session import scratch, scratch_scope
 
 TOKENIZER = os.environ.get("CLAIMLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How the vocabulary's public tokenizer splits a text before its merges: a fixed value.
@@ -164,8 +164,24 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 11, tokenizer:
     share_of_mixture, most_repeats, reached). weight is what the source was to
     have of the budget and exponent null without temperature; reached says
     whether the tokens mixed come, within one document, to the target (with an
-    entropy, to the weight).
+    entropy, to the weight). The tables made on the way to both are deleted.
     """
+    with scratch_scope() as keep:
+        wants, times, budget, exponent, goal = _weighed(documents, targets, seed, tokenizer, budget, entropy)
+        keep(wants, times)
+    rows = times.select("doc_id", "source", F.explode(F.expr("sequence(1, times)")).alias("pass_no"), "n_tokens")
+    mixed = times.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("mixed_tokens"), F.max("times").alias("most_repeats"))
+    in_mix = mixed.agg(F.sum("mixed_tokens").alias("in_mix"))
+    mixed_tokens = F.coalesce("mixed_tokens", F.lit(0))
+    shares = wants.join(mixed, "source", "left").crossJoin(F.broadcast(in_mix)).select(  # one row
+        "source", "target_share", "max_repeats", "available_tokens", "weight", exponent.alias("exponent"), mixed_tokens.alias("mixed_tokens"), F.coalesce(F.try_divide(mixed_tokens, F.lit(budget)), F.lit(0.0)).alias("share_of_budget"),
+        F.when(F.col("in_mix") > 0, mixed_tokens / F.col("in_mix")).otherwise(0.0).alias("share_of_mixture"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (mixed_tokens + F.col("largest") >= goal * F.lit(budget)).alias("reached"),
+    )
+    return rows, shares
+
+
+def _weighed(documents: DataFrame, targets: DataFrame, seed: int, tokenizer: str, budget: int | None, entropy: float | None) -> tuple[DataFrame, DataFrame, int, Column, Column]:
+    """(sources with what they are to have, documents with how often they occur, budget, exponent, goal), the tables written."""
     docs, sources, total = _counted(documents, targets, tokenizer)
     exponent = F.lit(None).cast("double")
     most = F.col("max_repeats") * F.col("available_tokens")
@@ -185,12 +201,4 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 11, tokenizer:
     wants = sources.withColumn("want", F.round(F.least(F.col("weight") * F.lit(budget), most.cast("double"))).cast("long"))
     wants = scratch(wants, "wants")
     times = _realised(docs, wants, seed)
-    rows = times.select("doc_id", "source", F.explode(F.expr("sequence(1, times)")).alias("pass_no"), "n_tokens")
-    mixed = times.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("mixed_tokens"), F.max("times").alias("most_repeats"))
-    in_mix = mixed.agg(F.sum("mixed_tokens").alias("in_mix"))
-    mixed_tokens = F.coalesce("mixed_tokens", F.lit(0))
-    shares = wants.join(mixed, "source", "left").crossJoin(F.broadcast(in_mix)).select(  # one row
-        "source", "target_share", "max_repeats", "available_tokens", "weight", exponent.alias("exponent"), mixed_tokens.alias("mixed_tokens"), F.coalesce(F.try_divide(mixed_tokens, F.lit(budget)), F.lit(0.0)).alias("share_of_budget"),
-        F.when(F.col("in_mix") > 0, mixed_tokens / F.col("in_mix")).otherwise(0.0).alias("share_of_mixture"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (mixed_tokens + F.col("largest") >= goal * F.lit(budget)).alias("reached"),
-    )
-    return rows, shares
+    return wants, times, budget, exponent, goal

@@ -89,3 +89,28 @@ _LEAKS = f"""d AS ({_GRAMS.format(key="doc_id", words=words("text"), table="docu
 """
 
 P7_FOUND = "WITH " + _LEAKS + "SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"
+
+P2_CLASSES = "WITH RECURSIVE " + _NEAR + """, k AS (SELECT DISTINCT split, id, 'family' AS kind, f AS c FROM x WHERE f IS NOT NULL UNION SELECT split, id, 'text', array_to_string(w, ' ') FROM x WHERE w IS NOT NULL UNION SELECT split, id, 'record', id FROM x),
+n AS (SELECT split, kind, c, count(*) AS n FROM k GROUP BY ALL), links AS (SELECT 'text' AS kind, array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b FROM near UNION SELECT DISTINCT kind, c, c FROM k WHERE kind <> 'text')
+SELECT e.split AS eval_split, e.kind AS kind, e.c AS eval_class, t.c AS train_class, e.n AS n_eval, t.n AS n_train FROM n e JOIN links l ON l.kind = e.kind AND l.a = e.c JOIN n t ON t.kind = l.kind AND t.c = l.b WHERE e.split <> 'train' AND t.split = 'train'"""
+
+# How natural a cut is before each place of an oversized text, told from what stands just before and after it; then cut after cut.
+P4_CUTS = r"""WITH RECURSIVE c AS (SELECT chunk_id AS id, min(text) AS t FROM document_chunks WHERE chunk_id IS NOT NULL AND length(text) > 1200 GROUP BY 1),
+p AS (SELECT id, t, unnest(range(1, length(t) + 1)) AS i FROM c),
+o AS (SELECT id, i, substr(t, greatest(1, i - 199), least(i, 200)) AS b, substr(t, i + 1, 1) AS n, substr(t, i, 1) AS l, substr(t, i + 1, 200) AS a FROM p),
+s AS (SELECT id, i, CASE
+ WHEN l = chr(13) AND n = chr(10) THEN -1 WHEN regexp_matches(n, '\p{M}') THEN -1
+ WHEN (i = 0 OR l = chr(10)) AND regexp_matches(a, '^[ 	]{0,3}#{1,6}[ 	]+[^
+]*') THEN 6
+ WHEN NOT regexp_matches(n, '^\s') AND regexp_matches(b, '(
+|
+|)[ 	]*(
+|
+|)\s*$') THEN 5
+ WHEN l = chr(10) OR l = chr(13) THEN 4
+ WHEN NOT regexp_matches(n, '^\s') AND regexp_matches(b, '[.!?…。！？]["''”»)\]]*\s+$') OR regexp_matches(b, '[。！？]$') AND NOT regexp_matches(a, '^[.!?…。！？"''”»)\]]*\s') THEN 3
+ WHEN NOT regexp_matches(n, '^\s') AND regexp_matches(b, '[,;:|)\]}、，；：]\s*$') THEN 2
+ WHEN NOT regexp_matches(n, '^\s') AND regexp_matches(b, '\s$') THEN 1 ELSE 0 END AS v FROM o),
+cuts AS (SELECT id, 0 AS k, 0 AS a, length(t)::BIGINT AS n, CASE WHEN length(t) > 1200 THEN (SELECT CASE WHEN max(v) FILTER (i >= 600) > 0 THEN arg_max(i, (v, i)) FILTER (i >= 600) WHEN max(v) > 0 THEN arg_max(i, (v, i)) ELSE 1200 END FROM s WHERE s.id = c.id AND i BETWEEN 121 AND 1200) ELSE length(t) END AS b FROM c
+ UNION ALL SELECT id, k + 1, (b - 120)::INTEGER, n, CASE WHEN n - b + 120 > 1200 THEN (SELECT CASE WHEN max(v) FILTER (i >= b - 120 + 600) > 0 THEN arg_max(i, (v, i)) FILTER (i >= b - 120 + 600) WHEN max(v) > 0 THEN arg_max(i, (v, i)) ELSE b - 120 + 1200 END FROM s WHERE s.id = cuts.id AND i BETWEEN b - 120 + 121 AND b - 120 + 1200) ELSE n END FROM cuts WHERE b < n)
+SELECT id AS chunk_id, k AS piece_index, a AS from_char, b AS to_char FROM cuts"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm import components, dedup, mixing, oracles, overlap, pieces, pii, postings, splits
 from claimloom.registry import Registry
-from claimloom.session import scratch, table
+from claimloom.session import table
 
 LLM = Registry()
 
@@ -49,6 +49,13 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "document_chunks"))
 
 
+@LLM.query("p4_cuts", oracles.P4_CUTS)
+def p4_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Where the oversized chunks were cut, in places of their own text."""
+    found = pieces.split_oversized(table(spark, d, "document_chunks").withColumn("start_char", F.lit(0)))
+    return found.select("chunk_id", "piece_index", F.col("start_char").alias("from_char"), F.col("end_char").alias("to_char"))
+
+
 # 5 Consolidating pairwise matches into groups
 
 
@@ -151,7 +158,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.cross_split_pairs(*_listed_capsules(spark, d)).select(F.col("split").alias("eval_split"), F.col("a").alias("capsule_a"), F.col("b").alias("capsule_b"))
 
 
-@LLM.query("p2_classes")
+@LLM.query("p2_classes", oracles.P2_CLASSES)
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """The linked classes with their numbers of capsules on both sides; copies are not expanded."""
     return overlap.cross_split(*_listed_capsules(spark, d)).counts().withColumnRenamed("split", "eval_split")
@@ -233,4 +240,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The documents with typed placeholders."""
     docs = table(spark, d, "documents")
-    return pii.redact(docs, scratch(pii.find_personal(docs, table(spark, d, "known_names")), "personal"))
+    return pii.redact(docs, pii.find_personal(docs, table(spark, d, "known_names")))

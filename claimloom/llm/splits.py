@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.components import HOOKS, contract, edges_of, relabelled
 from claimloom.operators.skew import hot_of_counts, hot_values, lookup_join
-from claimloom.session import scratch
+from claimloom.session import scratch, scratch_scope
 
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 QUARANTINE = "quarantine"
@@ -127,7 +127,16 @@ def update_splits(state: SplitState, links: DataFrame, shares: tuple[tuple[str,
     batches it comes. Links with a null link nothing. A component that grows or
     merges keeps the smallest id of those it had; new ones are named by their
     smallest key. An empty batch leaves the state as it is.
+
+    The state's tables are written; all others of the batch are deleted.
     """
+    with scratch_scope() as keep:
+        after = _updated(state, links, shares, seed)
+        keep(after.keys, after.components, after.conflicts)
+    return after
+
+
+def _updated(state: SplitState, links: DataFrame, shares: tuple[tuple[str, float], ...], seed: int) -> SplitState:
     links = scratch(links.select("a", "b").filter("a is not null and b is not null").distinct(), "links")
     keyed, vertices = _vertices(links, state)
     edges = edges_of(links, keyed.withColumnRenamed("key", "name"))

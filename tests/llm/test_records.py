@@ -321,6 +321,11 @@ def test_an_edit_changes_few_chunks():
             assert len(a - b) <= most and len(b - a) <= most
 
 
+def test_chunk_counts():
+    h = overlap.word_hashes([f"w{i % 50}" for i in range(300)])
+    assert all(overlap.chunk_counts(h[:n], w) == [len(overlap.chunk_ends(h[:n], b, w)) for b in range(overlap.LEVELS)] for n in (0, 1, 7, 300) for w in (1, 2))
+
+
 def test_chunks_make_up_the_record():
     h = overlap.word_hashes([f"w{i % 7}" for i in range(100)])
     assert sum(n for _, n in overlap.chunk_digests(h, 2)) == 100 and overlap.chunk_digests(h[:0], 2) == []
