@@ -11,7 +11,7 @@ from claimloom.plans import fragments as sql
 from claimloom.registry import CORE
 from claimloom.session import table
 
-_FROM_DOCS = sql.claims("documents", "doc_id", "doc_id", "text")
+FROM_DOCS = sql.claims("documents", "doc_id", "doc_id", "text")
 _FROM_CHUNKS = sql.claims("(SELECT DISTINCT chunk_id, document_id, text, start_char FROM document_chunks)", "document_id", "chunk_id", "text")
 
 
@@ -27,7 +27,7 @@ def _chunk_claims(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query(
     "claims_by_type",
-    _FROM_DOCS + f"SELECT claim_type, cue_category, count(*) AS n_claims, count(DISTINCT document_id) AS n_documents, {sql.mean_rounded('confidence', 3, 4)} AS mean_confidence FROM claims GROUP BY ALL",
+    FROM_DOCS + f"SELECT claim_type, cue_category, count(*) AS n_claims, count(DISTINCT document_id) AS n_documents, {sql.mean_rounded('confidence', 3, 4)} AS mean_confidence FROM claims GROUP BY ALL",
 )
 def claims_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Claims, documents and mean confidence by type and cue."""
@@ -56,7 +56,7 @@ _MAJORITY = """
 SELECT document_id, arg_min(claim_type, (-n, claim_type)) AS claim_type, max(n) AS n FROM counts GROUP BY document_id"""
 
 
-@CORE.query("majority_claim_type", _FROM_DOCS + _MAJORITY)
+@CORE.query("majority_claim_type", FROM_DOCS + _MAJORITY)
 def majority_claim_type(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent claim type of each document, ties by name."""
     n = _doc_claims(spark, d).groupBy("document_id", "claim_type").agg(F.count(F.lit(1)).alias("n"))

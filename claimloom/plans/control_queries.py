@@ -20,7 +20,7 @@ def related_capsules(spark: SparkSession, d: str) -> DataFrame:
     return controls.with_relations(capsules_once(spark, d), table(spark, d, "extracted_claims"), table(spark, d, "extracted_relations"))
 
 
-_BASE = """WITH c0 AS (SELECT DISTINCT * FROM capsules), fam AS (SELECT trim(claim.canonical_text) AS t, max(ids.claim_family_id) AS f FROM c0 WHERE claim.canonical_text IS NOT NULL GROUP BY 1),
+BASE = """WITH c0 AS (SELECT DISTINCT * FROM capsules), fam AS (SELECT trim(claim.canonical_text) AS t, max(ids.claim_family_id) AS f FROM c0 WHERE claim.canonical_text IS NOT NULL GROUP BY 1),
 oc AS (SELECT claim_id, max(f) AS f FROM extracted_claims JOIN fam ON trim(text) = t WHERE claim_id IS NOT NULL GROUP BY 1),
 one AS (SELECT DISTINCT relation_id, source_claim, target_claim, trim(lower(relation_type)) AS relation_type, confidence FROM extracted_relations),
 rel AS (SELECT s.f AS sf, one.relation_id, t.f AS tf, relation_type, confidence FROM one JOIN oc s ON s.claim_id = source_claim LEFT JOIN oc t ON t.claim_id = target_claim),
@@ -43,7 +43,7 @@ def _arm(name: str, source: str = "c", where: str = "", **changed: str) -> str:
 
 
 _NONE = {"ctx": "NULL::VARCHAR", "context": "NULL"}
-_ARMS = _BASE + ", arms AS (" + "\nUNION ALL ".join([
+_ARMS = BASE + ", arms AS (" + "\nUNION ALL ".join([
     *[_arm(a) for a in ("flat_text", "structured_text", "capsule_text", "capsule_no_side_channels")], _arm("capsule_no_provenance", src="NULL"), _arm("capsule_no_relations", rel="[]"), _arm("relation_ablation", rel="[]"),
     _arm("capsule_no_context", **_NONE), _arm("popularity_frequency_control", rel="[]", **_NONE), _arm("temporal_holdout", where=", cut WHERE c.ts > cutoff OR c.ts IS NULL"),
     _arm("context_shuffle", "slots JOIN ctxm USING (slot)", ctx="mctx", context="mcontext"), _arm("provenance_shuffle", "c LEFT JOIN sn USING (id)", src="coalesce(msrc, c.src)"),
@@ -84,7 +84,7 @@ def arm_audits(spark: SparkSession, d: str) -> DataFrame:
     return controls.arm_findings(controls.arms(related_capsules(spark, d)), fields).groupBy("arm", "audit", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@CORE.query("capsule_relations", _BASE + "SELECT id AS capsule_id, unnest(rel).id AS relation_id, unnest(rel).f AS target_family, unnest(rel).y AS relation_type FROM c")
+@CORE.query("capsule_relations", BASE + "SELECT id AS capsule_id, unnest(rel).id AS relation_id, unnest(rel).f AS target_family, unnest(rel).y AS relation_type FROM c")
 def capsule_relations(spark: SparkSession, d: str) -> DataFrame:
     """The relations of each capsule with the family they lead to."""
     return related_capsules(spark, d).select("ids.capsule_id", F.explode("relations").alias("r")).select("capsule_id", "r.relation_id", "r.target_family", "r.relation_type")
@@ -95,7 +95,7 @@ m AS (SELECT *, coalesce(lead(dm) OVER w, first_value(dm) OVER w) AS dm1, coales
 """
 
 
-@CORE.query("control_transforms", _BASE + ", " + _B + """SELECT t AS transform, id AS capsule_id, CASE t WHEN 'context_shuffle' THEN dm1 WHEN 'no_context' THEN NULL ELSE dm END AS n_domains, CASE t WHEN 'provenance_shuffle' THEN s1 WHEN 'no_provenance' THEN NULL ELSE s END AS n_sources,
+@CORE.query("control_transforms", BASE + ", " + _B + """SELECT t AS transform, id AS capsule_id, CASE t WHEN 'context_shuffle' THEN dm1 WHEN 'no_context' THEN NULL ELSE dm END AS n_domains, CASE t WHEN 'provenance_shuffle' THEN s1 WHEN 'no_provenance' THEN NULL ELSE s END AS n_sources,
 CASE t WHEN 'no_relations' THEN NULL WHEN 'popularity_frequency_control' THEN 0 ELSE r END AS relation_count, CASE t WHEN 'popularity_frequency_control' THEN 0 ELSE n END AS family_frequency FROM m, (SELECT unnest([""" + sql.quoted(controls.TRANSFORMS) + "]) AS t)")
 def control_transforms(spark: SparkSession, d: str) -> DataFrame:
     """Capsules' feature groups under each control transform of an experiment."""
@@ -112,7 +112,7 @@ def control_transforms(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@CORE.query("relation_group", _BASE + """, v AS (SELECT y, row_number() OVER (ORDER BY y) + 1 AS idx FROM (SELECT DISTINCT unnest(rel).y AS y FROM c) WHERE trim(coalesce(y, '')) <> ''), i AS (SELECT fam, row_number() OVER (ORDER BY m, fam) - 1 AS ix FROM (SELECT fam, min(id) AS m FROM c WHERE fam IS NOT NULL GROUP BY 1)),
+@CORE.query("relation_group", BASE + """, v AS (SELECT y, row_number() OVER (ORDER BY y) + 1 AS idx FROM (SELECT DISTINCT unnest(rel).y AS y FROM c) WHERE trim(coalesce(y, '')) <> ''), i AS (SELECT fam, row_number() OVER (ORDER BY m, fam) - 1 AS ix FROM (SELECT fam, min(id) AS m FROM c WHERE fam IS NOT NULL GROUP BY 1)),
 e AS (SELECT id, unnest(rel) AS r, unnest(range(len(rel))) AS k FROM c), q AS (SELECT id, list(coalesce(v.idx, 1) ORDER BY k) AS tys, list(coalesce(i.ix, -1) ORDER BY k) AS gs FROM e LEFT JOIN v ON v.y = r.y LEFT JOIN i ON i.fam = r.f GROUP BY id)
 SELECT c.id AS capsule_id, coalesce(tys, []) AS relation_types, coalesce(gs, []) AS relation_targets, len(rel) AS n, row_number() OVER (ORDER BY c.id) - 1 AS record_index, coalesce(sum(len(rel)) OVER (ORDER BY c.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset, (len(rel) > 0)::INT AS mask FROM c LEFT JOIN q USING (id)""")
 def relation_group(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +125,7 @@ def relation_group(spark: SparkSession, d: str) -> DataFrame:
 _METHOD = "step01-proxy"
 
 
-@CORE.query("epistemic_group", _BASE + f""", p AS (SELECT id, round(least(0.85, 0.35 + 0.1 * {_S}), 3) AS a, round(greatest(0.2, least(0.9, 0.7 - 0.05 * {_S})), 3) AS u, round(least(0.6, {_R} / 10.0), 3) AS p FROM c), h AS (SELECT ('0x' || substr(sha256('proxy_basis' || chr(31) || '{_METHOD}'), 1, 15))::BIGINT AS b)
+@CORE.query("epistemic_group", BASE + f""", p AS (SELECT id, round(least(0.85, 0.35 + 0.1 * {_S}), 3) AS a, round(greatest(0.2, least(0.9, 0.7 - 0.05 * {_S})), 3) AS u, round(least(0.6, {_R} / 10.0), 3) AS p FROM c), h AS (SELECT ('0x' || substr(sha256('proxy_basis' || chr(31) || '{_METHOD}'), 1, 15))::BIGINT AS b)
 SELECT id AS capsule_id, a AS evidential_anchoring_value, -1.0::DOUBLE AS evidential_anchoring_confidence, b AS evidential_anchoring_basis, u AS uncertainty_value, -1.0::DOUBLE AS uncertainty_confidence, b AS uncertainty_basis, p AS transformation_pressure_value, -1.0::DOUBLE AS transformation_pressure_confidence, b AS transformation_pressure_basis FROM p, h""")
 def epistemic_group(spark: SparkSession, d: str) -> DataFrame:
     """Proxies of capsules with confidence and basis."""
@@ -135,7 +135,7 @@ def epistemic_group(spark: SparkSession, d: str) -> DataFrame:
     return tensors.epistemic_group(rows, {n: F.lit(_METHOD) for n in names})
 
 
-@CORE.query("target_group", _BASE + """, e AS (SELECT id, unnest(src).source_id AS s, unnest(range(len(src))) AS k FROM c), i AS (SELECT s, row_number() OVER (ORDER BY m, s) - 1 AS ix FROM (SELECT s, min(id) AS m FROM e WHERE s IS NOT NULL GROUP BY 1)), q AS (SELECT id, list(coalesce(ix, -1) ORDER BY k) AS t FROM e LEFT JOIN i USING (s) GROUP BY id)
+@CORE.query("target_group", BASE + """, e AS (SELECT id, unnest(src).source_id AS s, unnest(range(len(src))) AS k FROM c), i AS (SELECT s, row_number() OVER (ORDER BY m, s) - 1 AS ix FROM (SELECT s, min(id) AS m FROM e WHERE s IS NOT NULL GROUP BY 1)), q AS (SELECT id, list(coalesce(ix, -1) ORDER BY k) AS t FROM e LEFT JOIN i USING (s) GROUP BY id)
 SELECT c.id AS capsule_id, coalesce(t, []) AS provenance_target_ids, coalesce(len(src), 0) AS n, row_number() OVER (ORDER BY c.id) - 1 AS record_index, coalesce(sum(coalesce(len(src), 0)) OVER (ORDER BY c.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset,
 round(coalesce(1 - x.extraction_confidence, -1), 6) AS uncertainty_target FROM c LEFT JOIN q USING (id) JOIN c0 x ON x.ids.capsule_id = c.id""")
 def target_group(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ def _src(*parts: str) -> str:
     return f"'src:document:' || {sql.digest(chr(39) + 'document' + chr(39), *parts)}"
 
 
-@CORE.query("public_records", _BASE + f""", u AS (SELECT c.*, y.temporal.constructed_at AS made, 'claimfam:' || {_slug(f"substr({_slug('c.text')}, 1, 48)")} || ':' || {sql.digest('c.fam', 'c.text')} AS pf FROM c JOIN c0 y ON y.ids.capsule_id = c.id WHERE c.text IS NOT NULL AND c.ts IS NOT NULL),
+@CORE.query("public_records", BASE + f""", u AS (SELECT c.*, y.temporal.constructed_at AS made, 'claimfam:' || {_slug(f"substr({_slug('c.text')}, 1, 48)")} || ':' || {sql.digest('c.fam', 'c.text')} AS pf FROM c JOIN c0 y ON y.ids.capsule_id = c.id WHERE c.text IS NOT NULL AND c.ts IS NOT NULL),
 w AS (SELECT *, 'claimstate:' || strftime(ts, '%Y-%m-%d') || ':' || {sql.digest('id', 'pf')} AS ps FROM u),
 sp AS (SELECT capsule_id, span_id, any_value(source_id) AS s FROM source_spans WHERE span_id IS NOT NULL AND capsule_id IS NOT NULL GROUP BY 1, 2),
 sl AS (SELECT capsule_id, list({{'a': 'span:' || {sql.digest('span_id', 's')}, 'b': {_src('coalesce(s, NULL)', 's')}}} ORDER BY span_id) AS spans, list(s ORDER BY span_id) AS docs FROM sp GROUP BY 1)

@@ -56,3 +56,32 @@ claims AS (
 
 def mean_rounded(x: str, digits_in: int, digits_out: int) -> str:
     return f"floor((sum(CAST(round({x} * {10**digits_in}) AS BIGINT)) * {2 * 10 ** (digits_out - digits_in)} + count({x})) / (count({x}) * 2)) / {float(10**digits_out)}"
+
+
+def strip(x: str, sides: str = "both") -> str:
+    blanks = r"[\s\x0b\x{A0}\x{2009}\x{3000}]+"
+    return f"regexp_replace({x}, '{'^' + blanks if sides == 'left' else f'^{blanks}|{blanks}$'}', '', 'g')"
+
+
+def chunks(most: int = 1200) -> str:
+    """CTEs ending in `chunks`, as chunk_documents gives them for source documents whose lines end in line feeds: lines to runs, headings to paths, sentences to packed pieces."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT DISTINCT document_id, text FROM source_documents WHERE document_id IS NOT NULL AND text IS NOT NULL),
+l0 AS (SELECT document_id, length(text) AS n, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+l1 AS (SELECT *, {strip('line')} AS body, sum(length(line) + 1) OVER (PARTITION BY document_id ORDER BY i) - length(line) - 1 AS a FROM l0),
+l2 AS (SELECT *, CASE WHEN regexp_matches(body, '^#{{1,6}}\s+\S') THEN 2 WHEN body <> '' THEN 1 ELSE 0 END AS kind FROM l1),
+l3 AS (SELECT *, coalesce(sum((kind = 2)::INT) OVER (PARTITION BY document_id ORDER BY i), 0) AS sec, i - row_number() OVER (PARTITION BY document_id, kind ORDER BY i) AS run FROM l2),
+h AS (SELECT document_id, sec AS rn, length(regexp_extract(body, '^(#+)', 1)) AS lvl, {strip("regexp_extract(body, '^#{1,6}(.*)$', 1)")} AS title FROM l3 WHERE kind = 2),
+hp AS (SELECT document_id, rn, [title] AS path FROM h WHERE rn = 1 UNION ALL SELECT h.document_id, h.rn, list_concat(list_slice(hp.path, 1, h.lvl - 1), [h.title]) FROM hp JOIN h ON h.document_id = hp.document_id AND h.rn = hp.rn + 1),
+b0 AS (SELECT document_id, min(i) AS f, string_agg(body, chr(10) ORDER BY i) AS t, arg_min(a + length(line) - length({strip('line', 'left')}), i)::BIGINT AS s, least(max(a + length(line) + 1), max(n))::BIGINT AS e, min(sec) AS sec FROM l3 WHERE kind = 1 GROUP BY document_id, run),
+b AS (SELECT * FROM b0 UNION ALL SELECT document_id, 0, {strip('text')}, instr(text, left({strip('text')}, 1)) - 1, length(text), 0 FROM d WHERE {strip('text')} <> '' AND document_id NOT IN (SELECT document_id FROM b0)),
+x0 AS (SELECT document_id, f, unnest(string_split(regexp_replace(t, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(2))) AS piece, unnest(range(len(string_split(regexp_replace(t, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(2))))) AS k FROM b WHERE length(t) > {most}),
+x1 AS (SELECT document_id, f, k, split_part(piece, chr(1), 1) AS s, sum(length(replace(piece, chr(1), ''))) OVER w - length(replace(piece, chr(1), '')) AS off FROM x0 WINDOW w AS (PARTITION BY document_id, f ORDER BY k)),
+x2 AS (SELECT document_id, f, row_number() OVER (PARTITION BY document_id, f ORDER BY k) - 1 AS k, s, off, sum(length(s) + 1) OVER (PARTITION BY document_id, f ORDER BY k) AS upto FROM x1 WHERE s <> ''),
+g AS (SELECT document_id, f, 0::BIGINT AS k, (SELECT greatest(1, count(*)) FROM x2 y WHERE y.document_id = x.document_id AND y.f = x.f AND y.upto - 1 <= {most}) AS m FROM x2 x WHERE k = 0
+ UNION ALL SELECT g.document_id, g.f, g.m, (SELECT greatest(g.m + 1, g.m + count(*)) FROM x2 y WHERE y.document_id = g.document_id AND y.f = g.f AND y.k >= g.m AND y.upto - z.upto - 1 <= {most}) FROM g JOIN x2 z ON z.document_id = g.document_id AND z.f = g.f AND z.k = g.m - 1 JOIN x2 v ON v.document_id = g.document_id AND v.f = g.f AND v.k = g.m),
+q0 AS (SELECT g.document_id, g.f, g.k, string_agg(s, ' ' ORDER BY x2.k) AS piece, min(off) AS off FROM g JOIN x2 ON x2.document_id = g.document_id AND x2.f = g.f AND x2.k >= g.k AND x2.k < g.m GROUP BY ALL),
+q AS (SELECT document_id, f, k, c, {strip(f"substr(piece, c * {most} + 1, {most})")} AS piece, off + c * {most} AS off FROM (SELECT *, unnest(range((length(piece) + {most} - 1) // {most})) AS c FROM q0)),
+r AS (SELECT b.document_id, b.f, coalesce(q.k, 0) AS k, coalesce(q.c, 0) AS c, coalesce(q.piece, b.t) AS piece, (b.s + coalesce(q.off, 0))::INTEGER AS a, (CASE WHEN q.piece IS NULL THEN b.e ELSE b.s + q.off + length(q.piece) END)::INTEGER AS z, b.sec FROM b LEFT JOIN q ON q.document_id = b.document_id AND q.f = b.f),
+chunks AS (SELECT r.document_id, row_number() OVER (PARTITION BY r.document_id ORDER BY r.f, r.k, r.c) - 1 AS chunk_index, piece, a, z, coalesce(hp.path, []) AS path FROM r LEFT JOIN hp ON hp.document_id = r.document_id AND hp.rn = r.sec)
+"""

@@ -19,10 +19,10 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_claims").select("claim_id", t.fingerprint("text").alias("fingerprint"), F.size(F.array_distinct(t.fingerprint_tokens("text"))).alias("n_tokens")).distinct()
 
 
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
+NORM = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
 
 
-@CORE.query("normalised_documents", f"SELECT doc_id, sha256({_NORM}) AS text_hash, length({_NORM}) AS n_chars FROM documents")
+@CORE.query("normalised_documents", f"SELECT doc_id, sha256({NORM}) AS text_hash, length({NORM}) AS n_chars FROM documents")
 def normalised_documents(spark: SparkSession, d: str) -> DataFrame:
     """Hash and length of the normalised texts."""
     n = table(spark, d, "documents").select("doc_id", t.normalize_text("text").alias("x"))
@@ -70,13 +70,13 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_claims").select("claim_id", s.alias("neutral_summary"), F.concat(F.lit("Source-grounded note: "), s).alias("teaching_note")).distinct()
 
 
-@CORE.query("document_chunks_made")
+@CORE.query("document_chunks_made", sql.chunks() + f"SELECT 'chunk_' || {sql.digest('document_id', 'chunk_index', 'a', 'z', 'piece')} AS chunk_id, document_id, chunk_index::INTEGER AS chunk_index, piece AS text, a AS start_char, z AS end_char, path AS section_path FROM chunks")
 def document_chunks_made(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all source documents."""
     return chunk_documents(table(spark, d, "source_documents"))
 
 
-@CORE.query("chunk_sections")
+@CORE.query("chunk_sections", sql.chunks() + "SELECT document_id, array_to_string(path, ' > ') AS section, count(*) AS n FROM chunks GROUP BY ALL")
 def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by section of the source documents."""
     return section_paths(table(spark, d, "source_documents"))

@@ -75,6 +75,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop_fs(spark, path)
+    return fs.getFileStatus(p).isFile()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     fs, p = _hadoop_fs(spark, path)
     fs.delete(p, True)
@@ -119,6 +124,11 @@ def _drop_root(spark: SparkSession, root: str) -> None:
         pass  # the session has ended before; the folder goes with the checkpoint folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the application's own folder, for what is written and read as files."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 _scopes: list[list[DataFrame]] = []
 
 
@@ -157,7 +167,7 @@ def scratch(df: DataFrame, name: str = "t") -> DataFrame:
     outlives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._claimloom_path = path

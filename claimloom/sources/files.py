@@ -75,8 +75,11 @@ def read_documents(spark: SparkSession, path: str, unicode_form: bool = True) ->
     sidecar with its name, a JSON record's own fields go before it where the
     record has the key. Hidden sidecar files themselves are no sources.
     """
-    files = binary_files(spark, path).filter(~F.endswith("file_name", F.lit(".meta.json")))
-    meta = sidecars(spark, path)
+    return documents_from(binary_files(spark, path).filter(~F.endswith("file_name", F.lit(".meta.json"))), sidecars(spark, path), unicode_form)
+
+
+def documents_from(files: DataFrame, meta: DataFrame, unicode_form: bool = True) -> tuple[DataFrame, DataFrame]:
+    """read_documents of files(path, content, file_name, stem, suffix) that are rows already, with their metadata(base, meta)."""
     joined = files.withColumn("base", F.regexp_replace("path", r"\.[^./]*$", "")).join(meta, "base", "left")
     decoded = joined.withColumn("raw_text", F.try_validate_utf8(F.col("content").cast("string")))
     plain = decoded.filter(F.col("suffix").isin(".txt", ".md", ".markdown"))

@@ -16,8 +16,9 @@ from claimloom.operators.claims import extract_claims
 DOCUMENTS = "doc_id long, text string, source string, published_at timestamp, ingested_at timestamp"
 
 
-def read_documents(spark: SparkSession, path: str, files_at_once: int = 16) -> DataFrame:
-    return spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files_at_once).parquet(path)
+def read_documents(spark: SparkSession, path: str, files_at_once: int = 16, glob: str = "*.parquet") -> DataFrame:
+    """The documents of the files under a folder, those there and those that come."""
+    return spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", glob).parquet(path)
 
 
 def claim_stream(documents: DataFrame) -> DataFrame:
