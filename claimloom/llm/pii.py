@@ -256,7 +256,7 @@ def score_names(found: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Dat
     for _ in range(rounds):
         given = scores.filter("role = 'given'").select(F.col("word").alias("a"), F.col("score").alias("g"))
         family = scores.filter("role = 'family'").select(F.col("word").alias("b"), F.col("score").alias("f"))
-        scored = edges.join(given, "a", "left").join(family, "b", "left").fillna(0.0, ["g", "f"])
+        scored = edges.join(given.hint("merge"), "a", "left").join(family.hint("merge"), "b", "left").fillna(0.0, ["g", "f"])
         scored = scratch(scored.withColumn("c", F.when(_lone(), 0.0).otherwise(F.col("g") * F.col("f"))), "scored")
         # a pattern is worth the part of what it extracts that is confident, once that is more than one name
         sides = scored.select(F.explode(F.array("lp", "rp")).alias("p"), "a", "b", "n", "c")
@@ -265,7 +265,7 @@ def score_names(found: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Dat
         patterns = patterns.filter((F.col("k") >= 2) | ((F.col("k") == 0) & (F.col("seen") >= LEAST_SEEN)))
         patterns = scratch(patterns.select("p", F.when(F.col("k") >= 2, F.col("w")).otherwise(0.0).alias("w"), (F.col("k") == 0).cast("double").alias("against")), "patterns")
         side = lambda c, s: patterns.select(F.col("p").alias(c), F.col("w").alias(f"w{s}"), F.col("against").alias(f"x{s}"))
-        both = scored.join(side("lp", "l"), "lp", "left").join(side("rp", "r"), "rp", "left").fillna(0.0, ["wl", "wr", "xl", "xr"])
+        both = scored.join(side("lp", "l").hint("merge"), "lp", "left").join(side("rp", "r").hint("merge"), "rp", "left").fillna(0.0, ["wl", "wr", "xl", "xr"])
         both = both.withColumns({"w": F.greatest("wl", "wr") * 0.6, "against": (F.greatest("xl", "xr") > 0) & (F.greatest("wl", "wr") < 0.3)})
         # a part is worth what extracts it: its partner, less where a pattern seen often never extracts a name (`The _ index`), or less surely the pattern alone; words also written small are no names
         def parts(word: str, other: str, small: str, role: str) -> DataFrame:
@@ -283,10 +283,10 @@ def _names(found: DataFrame, scores: DataFrame) -> DataFrame:
     sure = scores.filter(F.col("score") >= CONFIDENT)
     names = found.filter("kind = 'name'").select("doc_id", "start", "stop", "form", "a", "b", F.coalesce("label", F.lit("")).alias("after"))
     family, given = sure.filter("role = 'family'").select(F.col("word").alias("b")), sure.filter("role = 'given'").select(F.col("word").alias("a"), F.lit(True).alias("is_given"))
-    verdicts = names.select("form", "a", "b", "after").distinct().join(family, "b", "left_semi").join(given, "a", "left").filter(_lone() | F.col("is_given"))
+    verdicts = names.select("form", "a", "b", "after").distinct().join(family.hint("merge"), "b", "left_semi").join(given.hint("merge"), "a", "left").filter(_lone() | F.col("is_given"))
     # initials before a family name belong to that one
     verdicts = verdicts.join(family.select(F.col("b").alias("after")), "after", "left_anti").select("form", "a", "b", "after")
-    return names.join(verdicts, ["form", "a", "b", "after"], "left_semi").select("doc_id", F.lit("name").alias("pii_kind"), "start", "stop")
+    return names.join(verdicts.hint("merge"), ["form", "a", "b", "after"], "left_semi").select("doc_id", F.lit("name").alias("pii_kind"), "start", "stop")
 
 
 # Numbers
@@ -312,7 +312,7 @@ def _numbers(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 out = out.withColumns({f"{c}_{k}": F.lit(None).cast("double") for k in kinds})
             else:
                 p = patterns.select(F.col("p").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in kinds])
-                out = out.join(p, c, "left")
+                out = out.join(p.hint("merge"), c, "left")
         return out.withColumns({
             f"w_{k}": F.greatest(F.when(F.col("label") == k, 1.0).otherwise(0.0), *[F.coalesce(F.when(F.col("label").isin("", k), F.coalesce(f"{s}2_{k}", f"{s}1_{k}")), F.lit(0.0)) for s in "lr"])
             for k in kinds
@@ -337,7 +337,7 @@ def _numbers(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     personal = F.col("w_phone") + F.col("w_identity") >= CONFIDENT
     kind = F.coalesce(F.nullif("label", F.lit("")), F.when(F.col("phone") >= CONFIDENT, "phone").when(F.col("identity") >= CONFIDENT, "identity"))
     verdicts = scratch(valued(edges).join(shapes, "shape").filter(personal).withColumn("pii_kind", kind).filter("pii_kind is not null").select(*_CONTEXT, "pii_kind"), "verdicts")
-    return rows.join(verdicts, list(_CONTEXT)).select("doc_id", "pii_kind", "start", "stop")
+    return rows.join(verdicts.hint("merge"), list(_CONTEXT)).select("doc_id", "pii_kind", "start", "stop")
 
 
 # Addresses
@@ -421,5 +421,5 @@ def _replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
 def redact(documents: DataFrame, personal: DataFrame) -> DataFrame:
     """doc_id, text with typed placeholders, n_replaced, for every document with a text; repeated rows of a doc_id come once each."""
     spans = personal.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "pii_kind"))).alias("spans"))  # of one text
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null").join(spans, "doc_id", "left")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null").join(spans.hint("merge"), "doc_id", "left")
     return own.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_replaced("text", "spans")).alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_replaced"))
