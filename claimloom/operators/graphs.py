@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -53,3 +54,31 @@ def transitions(rows: DataFrame, batch: str, key: str, fields: list[str]) -> Dat
     b = rows.select(batch, F.col(key).alias("dst"), *[F.col(f).alias(f"{f}_b") for f in fields])
     changed = F.coalesce(*[F.when(~F.col(f"{f}_a").eqNullSafe(F.col(f"{f}_b")), F.lit(f)) for f in fields])
     return a.join(b, batch).filter("src <> dst").select(batch, "src", "dst", changed.alias("changed")).filter("changed is not null")
+
+
+# The edges that tie a record's claim to what it belongs to.
+STAR = (("claim_context", "ids.context_id"), ("claim_family", "ids.claim_family_id"), ("claim_state", "ids.claim_state_id"))
+
+
+def star_edges(capsules: DataFrame) -> DataFrame:
+    """record_id, edge_type, src, dst: three edges from each record's claim to its context, family and state; a null end gives none."""
+    edges = F.array(*[F.struct(F.lit(kind).alias("edge_type"), F.col(c).cast("string").alias("dst")) for kind, c in STAR])
+    own = capsules.select(F.col("ids.capsule_id").alias("record_id"), F.explode(edges).alias("e")).filter("e.dst is not null and record_id is not null")
+    return own.select("record_id", "e.edge_type", F.col("record_id").alias("src"), "e.dst")
+
+
+def incidence(rows: DataFrame, key: str, members: str) -> DataFrame:
+    """hyperedge, node, role of each row's distinct members in order, role being the place; rows of fewer than two members are no hyperedges."""
+    m = F.array_distinct(F.filter(F.col(members), lambda x: x.isNotNull()))
+    own = rows.select(F.col(key).alias("hyperedge"), m.alias("m")).filter(F.size("m") >= 2)
+    return own.select("hyperedge", F.posexplode("m").alias("role", "node")).select("hyperedge", "node", "role")
+
+
+#: loops that a batch keeps
+LOOPS = 128
+
+
+def loops_of_batches(loops: DataFrame, batch: str, order: list[str], most: int = LOOPS) -> DataFrame:
+    """The first `most` loops of each batch by order, which should leave no ties; the limit is the feature, and applied before the shuffle too."""
+    w = W.partitionBy(batch).orderBy(*order)
+    return loops.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")

@@ -153,3 +153,10 @@ def cascade_counts(decisions: DataFrame, decision: str, escalated: Column) -> Da
     """One row: outputs, how many were escalated, the rate (3 digits), and disagreements, where one provider's output was taken over the other's."""
     n = F.count(F.lit(1))
     return decisions.agg(n.alias("total"), F.count_if(escalated).alias("escalated"), F.round(F.coalesce(F.try_divide(F.count_if(escalated), n), F.lit(0.0)), 3).alias("escalation_rate"), F.count_if(F.startswith(F.col(decision), F.lit("selected_"))).alias("disagreements"))
+
+
+def fairness_flags(budgets: DataFrame, columns: dict[str, float]) -> DataFrame:
+    """measure, spread, allowed, fair: the relative spread of each measure over all arms against what is allowed; an empty table is fair."""
+    spread = budgets.agg(*[F.coalesce(relative_spread(F.min(c), F.max(c)), F.lit(0.0)).alias(c) for c in columns])
+    rows = spread.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("spread"), F.lit(float(x)).alias("allowed")) for c, x in columns.items()])).alias("x")).select("x.*")
+    return rows.withColumn("fair", F.col("spread") <= F.col("allowed"))

@@ -46,6 +46,14 @@ def merge_outputs(primary: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return j.select(key, decision.alias("decision"), F.when(decision == "selected_escalation", F.col("s_confidence")).otherwise(F.col("p_confidence")).alias("confidence"), F.when(decision == "selected_escalation", F.col("s_output")).otherwise(F.col("p_output")).alias("output"))
 
 
+def cascade(primary: DataFrame, second: DataFrame, key: str, warned: str, claim_type: str) -> DataFrame:
+    """merge_outputs of primary(key, output, confidence, n_keys, warned, claim_type) and those rows of second whose primary output asks for a second opinion; with reasons and score of the escalation."""
+    reasons, score = escalation(F.col("confidence"), F.col(warned), F.col(claim_type))
+    gated = primary.withColumns({"reasons": reasons, "escalation_score": score})
+    asked = second.join(gated.filter(F.size("reasons") > 0).select(key), key, "left_semi")
+    return merge_outputs(primary, asked, key).join(gated.select(key, "reasons", "escalation_score"), key)
+
+
 def request_hash(*parts: str) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1f", *parts), 256))
 

@@ -45,7 +45,11 @@ def chunk_claims(spark: SparkSession, d: str) -> DataFrame:
     return _chunk_claims(spark, d).select("document_id", "chunk_id", "claim_id", "text", "normalized_text", "claim_type", "cue_category", "confidence")
 
 
-@CORE.query("chunk_claim_offsets")
+@CORE.query(
+    "chunk_claim_offsets",
+    sql.placed_claims("(SELECT DISTINCT chunk_id, document_id, text, start_char FROM document_chunks)", "document_id", "chunk_id", "text", "start_char")
+    + f"SELECT chunk_id, 'claim_' || {sql.digest('document_id', 'chunk_id', 'normalized_text')} AS claim_id, sentence_index, source_start_char, source_end_char FROM placed",
+)
 def chunk_claim_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Where each claim stands in its document."""
     return _chunk_claims(spark, d).select("chunk_id", "claim_id", "sentence_index", "source_start_char", "source_end_char")

@@ -43,7 +43,7 @@ def _arm(name: str, source: str = "c", where: str = "", **changed: str) -> str:
 
 
 _NONE = {"ctx": "NULL::VARCHAR", "context": "NULL"}
-_ARMS = BASE + ", arms AS (" + "\nUNION ALL ".join([
+ARMS_SQL = BASE + ", arms AS (" + "\nUNION ALL ".join([
     *[_arm(a) for a in ("flat_text", "structured_text", "capsule_text", "capsule_no_side_channels")], _arm("capsule_no_provenance", src="NULL"), _arm("capsule_no_relations", rel="[]"), _arm("relation_ablation", rel="[]"),
     _arm("capsule_no_context", **_NONE), _arm("popularity_frequency_control", rel="[]", **_NONE), _arm("temporal_holdout", where=", cut WHERE c.ts > cutoff OR c.ts IS NULL"),
     _arm("context_shuffle", "slots JOIN ctxm USING (slot)", ctx="mctx", context="mcontext"), _arm("provenance_shuffle", "c LEFT JOIN sn USING (id)", src="coalesce(msrc, c.src)"),
@@ -59,14 +59,14 @@ _S, _R = "coalesce(len(src), 0)::DOUBLE", "len(rel)::DOUBLE"
 _SIDE = f"CASE WHEN arm <> 'capsule_no_side_channels' THEN [0.0, round(least(0.85, 0.35 + 0.1 * {_S}), 3), round(least(0.6, {_R} / 10.0), 3), {_S}, round(greatest(0.2, least(0.9, 0.7 - 0.05 * {_S})), 3), {_R}, {_S}, 0.0]::DOUBLE[] END"
 
 
-@CORE.query("control_arms", _ARMS + f"SELECT arm, id AS capsule_id, {_TEXT} AS text, {_SIDE} AS side_channels FROM arms LEFT JOIN freq ON freq.fam IS NOT DISTINCT FROM arms.fam")
+@CORE.query("control_arms", ARMS_SQL + f"SELECT arm, id AS capsule_id, {_TEXT} AS text, {_SIDE} AS side_channels FROM arms LEFT JOIN freq ON freq.fam IS NOT DISTINCT FROM arms.fam")
 def control_arms(spark: SparkSession, d: str) -> DataFrame:
     """Every capsule in all twelve arms: text and side channels."""
     return controls.rendered(controls.arms(related_capsules(spark, d)))
 
 
 _REQ = {"claim.canonical_text": "text", "claim.claim_type": "kind", "temporal.valid_as_of": "ts", "ids.claim_family_id": "fam"}
-_FOUND = _ARMS + ", texts AS (SELECT arm, " + _TEXT + """ AS t FROM arms LEFT JOIN freq ON freq.fam IS NOT DISTINCT FROM arms.fam), s AS (SELECT arm, ts, unnest(src) AS s FROM arms), r AS (SELECT arm, unnest(rel) AS r FROM arms), f AS (
+_FOUND = ARMS_SQL + ", texts AS (SELECT arm, " + _TEXT + """ AS t FROM arms LEFT JOIN freq ON freq.fam IS NOT DISTINCT FROM arms.fam), s AS (SELECT arm, ts, unnest(src) AS s FROM arms), r AS (SELECT arm, unnest(rel) AS r FROM arms), f AS (
 """ + "\nUNION ALL ".join([
     *[f"SELECT arm, 'required_fields' AS audit, '{REQUIRED[p]}' AS severity FROM arms WHERE trim(coalesce({x}::VARCHAR, '')) = ''" for p, x in _REQ.items()],
     "SELECT arm, 'temporal_leakage', 'error' FROM s WHERE s.source_date > ts AND NOT coalesce(s.target_only, false)",

@@ -54,6 +54,20 @@ claims AS (
 """
 
 
+def placed_claims(source: str, doc: str, chunk: str, text: str, start: str) -> str:
+    """CTEs ending in `placed`: the claims with the number and the places of their sentences, told from running lengths of all pieces of a text."""
+    low = "' ' || " + fold("s") + " || ' '"
+    pieces = f"regexp_extract_all(regexp_replace({text}, '\\n\\z', ''), '[^.!?\\n]+(?:[.!?]|\\z)|[\\s\\S]')"
+    return f"""
+WITH pieces AS (SELECT {doc} AS document_id, {chunk} AS chunk_id, {start} AS start, unnest({pieces}) AS r, unnest(range(len({pieces}))) AS k FROM {source}),
+runs AS (SELECT *, sum(length(r)) OVER w - length(r) AS p, length(r) > 1 OR (k = max(k) OVER (PARTITION BY document_id, chunk_id, start) AND NOT regexp_matches(r, '[.!?\\n]')) AS is_sentence FROM pieces WINDOW w AS (PARTITION BY document_id, chunk_id, start ORDER BY k)),
+sent AS (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_id, start ORDER BY k) - 1 AS i, {SQUEEZE.format(x="r")} AS s FROM runs WHERE is_sentence),
+placed AS (
+  SELECT document_id, chunk_id, i::INTEGER AS sentence_index, {fingerprint("s")} AS normalized_text, (start + p)::INTEGER AS source_start_char, (start + p + length(regexp_replace(r, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')))::INTEGER AS source_end_char FROM sent
+  WHERE length(s) BETWEEN 32 AND 480 AND NOT ends_with(s, '?') AND NOT {_any(fold("s"), BOILERPLATE)} AND {_any(low, ASSERTIVE)} AND {fingerprint("s")} <> '')
+"""
+
+
 def mean_rounded(x: str, digits_in: int, digits_out: int) -> str:
     return f"floor((sum(CAST(round({x} * {10**digits_in}) AS BIGINT)) * {2 * 10 ** (digits_out - digits_in)} + count({x})) / (count({x}) * 2)) / {float(10**digits_out)}"
 

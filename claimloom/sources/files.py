@@ -145,6 +145,6 @@ def tail(df: DataFrame, order: str, n: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(order), *ties).limit(n)
 
 
-def first_files(documents: DataFrame, n: int, name: str = "file_name") -> DataFrame:
-    """The first n documents by file name, of equals the first by path."""
-    return documents.orderBy(name, "source_path").limit(n)
+def first_files(documents: DataFrame, n: int, name: str = "file_name", *ties: str) -> DataFrame:
+    """The first n documents by file name, of equals the first by path, then by ties."""
+    return documents.orderBy(name, "source_path", *ties).limit(n)

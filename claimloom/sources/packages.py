@@ -53,6 +53,12 @@ def source_metadata(capsules: DataFrame) -> DataFrame:
     return s.groupBy("_s.source_id").agg(F.max_by("_s", F.struct("_c", "_k")).alias("_s")).select("_s.*")
 
 
+def context_metadata(capsules: DataFrame) -> DataFrame:
+    """context_id, domains, communities of the distinct contexts of the capsules, of more than one row the last in the order of capsules."""
+    c = capsules.filter("ids.context_id is not null").select("ids.context_id", F.col("ids.capsule_id").alias("_c"), "context.domains", "context.communities")
+    return c.groupBy("context_id").agg(F.max_by(F.struct("domains", "communities"), "_c").alias("_s")).select("context_id", "_s.*")
+
+
 def write_package(capsules: DataFrame, splits: DataFrame, path: str, relations: DataFrame | None = None) -> dict:
     """A package: data/capsules, data/sources, data/relations, splits, manifests, and a hash of every file.
 
