@@ -50,10 +50,9 @@ def to_public(capsules: DataFrame) -> DataFrame:
     state = F.concat(F.lit("claimstate:"), F.date_format("valid_as_of", "yyyy-MM-dd"), F.lit(":"), t.stable_hash("capsule_id", "_family"))
     own = own.withColumn("_state", state)
     sources = F.transform("provenance", lambda r: F.struct(source_ref(F.lit("document"), r["source_id"], r["document_id"]).alias("source_id"), r["title"].alias("title"), r["uri"].alias("url"), r["source_date"].alias("source_date"), r["license"].alias("license")))
-    of_document = F.map_from_entries(F.transform(F.filter("provenance", lambda r: r["document_id"].isNotNull()), lambda r: F.struct(r["document_id"], source_ref(F.lit("document"), r["source_id"], r["document_id"]))))
-
     def span(s: Column) -> Column:
-        source = F.coalesce(F.try_element_at(F.col("_of_document"), s["document_id"]), source_ref(F.lit("document"), s["document_id"]))
+        of_document = F.try_element_at(F.filter("provenance", lambda r: r["document_id"] == s["document_id"]), F.lit(-1))  # of several the last
+        source = F.when(of_document.isNotNull(), source_ref(F.lit("document"), of_document["source_id"], of_document["document_id"])).otherwise(source_ref(F.lit("document"), s["document_id"]))
         return F.struct(F.concat(F.lit("span:"), t.stable_hash(s["span_id"], s["document_id"])).alias("span_id"), source.alias("source_id"), s["text"].alias("text"), s["start_char"].alias("start_char"), s["end_char"].alias("end_char"), s["source_date"].alias("source_date"), F.lit(False).alias("target_only"))
 
     relations = F.transform("relations", lambda r: F.struct(
@@ -61,7 +60,6 @@ def to_public(capsules: DataFrame) -> DataFrame:
         r["relation_type"].alias("relation_type"), r["confidence"].alias("confidence"), F.array().cast("array<string>").alias("evidence_span_ids"), F.lit(RELATION_METHOD).alias("extraction_method"),
     ))
     measure = lambda c: F.struct(F.col(f"proxies.{c}").alias("value"), F.lit(PROXY_METHOD).alias("method"))
-    own = own.withColumn("_of_document", of_document)
     domains = F.array_join("domains", ",")
     return own.select(
         F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("format_version"),

@@ -118,7 +118,7 @@ def test_feature_groups(spark):
 
 def test_public_records(spark):
     df = spark.createDataFrame(
-        [("cap", "claim", "A Text.", "t", "en", None, ["x y", "z"], None, at(2024), at(2025), [("d1", "s1", "T", None, at(2023), None), ("d2", "s2", None, None, at(2022), None)], [("p1", "d1", "A", 0, 1, None), ("p2", "d9", "B", None, None, None)], [("r", "other", "supports", 0.5)], (0.5, 0.4, 0.1, 0.3, 2.0), 0.9), ("bad", "c", None, "t", "en", None, None, None, at(2024), None, None, None, None, None, None)],
+        [("cap", "claim", "A Text.", "t", "en", None, ["x y", "z"], None, at(2024), at(2025), [("d1", "s0", "T", None, at(2023), None), ("d2", "s2", None, None, at(2022), None), ("d1", "s1", "T", None, at(2023), None)], [("p1", "d1", "A", 0, 1, None), ("p2", "d9", "B", None, None, None)], [("r", "other", "supports", 0.5)], (0.5, 0.4, 0.1, 0.3, 2.0), 0.9), ("bad", "c", None, "t", "en", None, None, None, at(2024), None, None, None, None, None, None)],
         "capsule_id string, claim_id string, canonical_text string, claim_type string, language string, scope string, domains array<string>, communities array<string>, valid_as_of timestamp, created_at timestamp, provenance array<struct<document_id:string,source_id:string,title:string,uri:string,source_date:timestamp,license:string>>, "
         "spans array<struct<span_id:string,document_id:string,text:string,start_char:int,end_char:int,source_date:timestamp>>, relations array<struct<relation_id:string,target_claim_id:string,relation_type:string,confidence:double>>, proxies struct<ontic_compatibility:double,evidential_anchoring:double,transformation_pressure:double,uncertainty:double,redundancy_effective_n:double>, extraction_confidence double",
     )
@@ -127,7 +127,7 @@ def test_public_records(spark):
     family = f"claimfam:a-text:{h('claim', 'A Text.')}"
     state = f"claimstate:2024-01-01:{h('cap', family)}"
     assert tuple(r["ids"]) == (f"axc:sha256:{h(family, state, 'A Text.', n=64)}", family, state, "ctx:x-y-z")
-    assert [s["source_id"] for s in r["provenance"]["sources"]] == [f"src:document:{h('document', 's1', 'd1')}", f"src:document:{h('document', 's2', 'd2')}"]
+    assert [s["source_id"] for s in r["provenance"]["sources"]] == [f"src:document:{h('document', x, y)}" for x, y in (("s0", "d1"), ("s2", "d2"), ("s1", "d1"))]
     assert [s["source_id"] for s in r["surface_forms"]["source_spans"]] == [f"src:document:{h('document', 's1', 'd1')}", f"src:document:{h('document', 'd9')}"] and r["surface_forms"]["source_spans"][0]["span_id"] == f"span:{h('p1', 'd1')}"
     assert r["relations"][0]["target_claim_family_id"] == f"claimfam:other:{h('other')}" and r["temporal"]["source_publication_date"] == at(2022) and r["epistemic_state"]["uncertainty"]["value"] == 0.3
 
