@@ -2,7 +2,12 @@ from __future__ import annotations
 
 import difflib
 import itertools
+import os
+import time
 
+from pyspark.sql import functions as F
+
+from claimloom import session
 from claimloom.operators.similarity import RELATION_RULES
 from claimloom.plans import graph_queries, substrate_queries
 
@@ -62,3 +67,21 @@ def test_hard_negatives_have_no_relation(spark, rows, tmp_path):
     assert "supports" in kinds and "related" in kinds
     got = rows(graph_queries.hard_negatives(spark, str(tmp_path)), "source", "target")
     assert got == want and want
+
+
+def test_families_leave_only_themselves_on_disk(spark):
+    """No shuffle file outlives the scratch table it was made for, and of the scratch tables only the families stay."""
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    session.scratch(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    root = session._root(spark).removeprefix("file:")
+    tables = set(os.listdir(root))
+    families = substrate_queries.built_families(spark, DATA)
+    assert [x.split("-")[0] for x in set(os.listdir(root)) - tables] == ["families"] and families.count()
