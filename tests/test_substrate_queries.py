@@ -5,6 +5,7 @@ import itertools
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom import session
@@ -85,3 +86,11 @@ def test_families_leave_only_themselves_on_disk(spark):
     tables = set(os.listdir(root))
     families = substrate_queries.built_families(spark, DATA)
     assert [x.split("-")[0] for x in set(os.listdir(root)) - tables] == ["families"] and families.count()
+
+
+@pytest.mark.parametrize("query", [graph_queries.near_but_distinct, graph_queries.family_temporal_distractors])
+def test_pools_keep_no_claims_on_disk(spark, query):
+    session.scratch(spark.range(1)).count()
+    root = session._root(spark).removeprefix("file:")
+    tables = set(os.listdir(root))
+    assert query(spark, DATA).count() and {x.split("-")[0] for x in set(os.listdir(root)) - tables} <= {"families", "blocks", "block", "pairs"}
