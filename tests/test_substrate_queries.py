@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom import session
+from claimloom.operators.claims import extract_claims
 from claimloom.operators.similarity import RELATION_RULES
-from claimloom.plans import graph_queries, substrate_queries
+from claimloom.plans import graph_queries, substrate, substrate_queries
 
 from .conftest import DATA
 from .test_operators import _print
@@ -94,3 +95,43 @@ def test_pools_keep_no_claims_on_disk(spark, query):
     root = session._root(spark).removeprefix("file:")
     tables = set(os.listdir(root))
     assert query(spark, DATA).count() and {x.split("-")[0] for x in set(os.listdir(root)) - tables} <= {"families", "blocks", "block", "pairs"}
+
+
+@pytest.mark.parametrize("query", [graph_queries.near_but_distinct])
+def test_families_are_written_when_claims_are_gone(spark, monkeypatch, query):
+    """Texts, claims, positions and places are off the disk before the families' own shuffle begins."""
+    session.scratch(spark.range(1)).count()
+    root = session._root(spark).removeprefix("file:")
+    before, there = set(os.listdir(root)), []
+
+    def written(df, name="t"):
+        if name == "families":
+            there.extend(x.split("-")[0] for x in set(os.listdir(root)) - before)
+        return session.scratch(df, name)
+
+    monkeypatch.setattr(substrate, "scratch", written)
+    assert query(spark, DATA).count() and there and set(there) <= {"members", "of_documents", "dates"}
+
+
+def test_families_shuffle_texts_once(spark, tmp_path):
+    """Of long texts no more is shuffled than each once: not for the documents' dates, nor with their claims."""
+    def shuffled():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.sha2(F.concat("document_id", i.cast("string")), 256)), "")
+    session.table(spark, DATA, "source_documents").withColumn("text", F.concat("text", F.lit("\n\n"), noise)).write.parquet(str(tmp_path / "source_documents.parquet"))
+    texts, before = session.table(spark, str(tmp_path), "source_documents").agg(F.sum(F.length("text"))).first()[0], shuffled()
+    assert substrate_queries.built_families(spark, str(tmp_path)).count() and sum(n for k, n in shuffled().items() if k not in before) < 1.5 * texts
+
+
+def test_claims_of_a_chunk_count_once(spark):
+    text = "Heat causes a loss of tension in wires. Cold causes a loss of colour in leaves. HEAT causes a loss of tension in wires."
+    chunks = spark.createDataFrame([("d", "c1", text, 5), ("d", "c2", text, 300), ("e", "c3", None, 0)], "document_id string, chunk_id string, text string, start_char int")
+    all_ = extract_claims(chunks, "document_id", "chunk_id", "text", "start_char")
+    for start in ("start_char", None):
+        got = extract_claims(chunks, "document_id", "chunk_id", "text", start, once=True)
+        assert got.count() == 4 and {r["claim_id"] for r in got.collect()} == {r["claim_id"] for r in all_.collect()} and all_.count() == 6
+        assert sorted((r["chunk_id"], r["sentence_index"], r["text"][:4]) for r in got.collect()) == [("c1", 0, "Heat"), ("c1", 1, "Cold"), ("c2", 0, "Heat"), ("c2", 1, "Cold")]
