@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom import session
+from claimloom.operators import similarity
 from claimloom.operators.claims import extract_claims
 from claimloom.operators.similarity import RELATION_RULES
 from claimloom.plans import graph_queries, substrate, substrate_queries
@@ -127,6 +128,46 @@ def test_families_shuffle_texts_once(spark, tmp_path):
     assert substrate_queries.built_families(spark, str(tmp_path)).count() and sum(n for k, n in shuffled().items() if k not in before) < 1.5 * texts
 
 
+def test_temporal_pool_writes_no_texts(spark, tmp_path, monkeypatch):
+    """No table that is written on the way has a text of documents or claims, and texts are shuffled a share at a time."""
+    def shuffled():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.sha2(F.concat("document_id", i.cast("string")), 256)), "")
+    session.table(spark, DATA, "source_documents").withColumn("text", F.concat("text", F.lit("\n\n"), noise)).write.parquet(str(tmp_path / "source_documents.parquet"))
+    texts, before, columns = session.table(spark, str(tmp_path), "source_documents").agg(F.sum(F.length("text"))).first()[0], shuffled(), set()
+
+    def written(df, name="t"):
+        columns.update(df.columns)
+        return session.scratch(df, name)
+
+    monkeypatch.setattr(substrate, "scratch", written)
+    monkeypatch.setattr(similarity, "scratch", written)
+    assert graph_queries.family_temporal_distractors(spark, str(tmp_path)).count()
+    assert columns and not columns & {"text", "canonical_claim_text", "normalized_text"}
+    assert max(n for k, n in shuffled().items() if k not in before) < 0.7 * texts
+
+
+def test_first_seen_of_families(spark):
+    """The families and their first_seen are those of build_families: with repeated documents, equal claims in several, ties, and no dates."""
+    heat, cold, same = "Heat causes a loss of tension in long copper wires.", "Cold causes a loss of colour in old maple leaves.", "heat CAUSES a loss of tension in long copper wires!"
+    near = "Heat causes a loss of tension in long copper tubes."
+    docs = [
+        ("a", f"{heat} {cold}", 2, "2021-05-01"), ("a", f"{heat} {heat}", 1, "2022-05-01"), ("a", f"{heat} {heat}", 1, "2023-05-01"), ("b", f"{same}\n\n{near}", 1, "2021-01-01"), ("c", cold, 1, None), ("d", "", 1, "2020-01-01"),
+        (None, heat, 1, "1999-01-01"), ("e", None, 1, "1999-01-01"), ("f", f"# Head\n\n{cold}\n{near}", 1, "1677-01-01"), ("g", cold, 1, "9999-12-31"), ("h", f"{near} {heat}", 1, "2024-01-01"),
+    ]
+    df = spark.createDataFrame(docs, "document_id string, text string, ingested_at int, seen string").select(
+        "document_id", "text", "ingested_at", F.col("seen").cast("timestamp").alias("published_at"), F.lit("known").alias("license"), F.array(F.lit("x")).alias("domains"), F.lit(None).cast("timestamp").alias("temporal_cutoff_at"),
+    )
+    for frame, extra in ((df, {}), (df.withColumn("published_at", F.col("published_at").cast("timestamp_ntz")), {"cutoff": "2022-01-01", "chunk_chars": 60, "overlap": 9})):
+        got, want = (sorted(tuple(r) for r in f.select("family_id", F.col("first_seen").cast("string")).collect()) for f in (substrate.build_first_seen(frame, **extra), substrate.build_families(frame, **extra)))
+        assert got == want and {r[1] for r in got} == {"1677-01-01 00:00:00"}
+    assert substrate.build_first_seen(df.limit(0)).count() == 0
+
+
 def test_claims_of_a_chunk_count_once(spark):
     text = "Heat causes a loss of tension in wires. Cold causes a loss of colour in leaves. HEAT causes a loss of tension in wires."
     chunks = spark.createDataFrame([("d", "c1", text, 5), ("d", "c2", text, 300), ("e", "c3", None, 0)], "document_id string, chunk_id string, text string, start_char int")
